@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import records  # noqa: F401
+from . import language, records, tables  # noqa: F401

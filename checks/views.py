@@ -13,6 +13,7 @@ from recordlake.functions.normalize import normalize_record
 from recordlake.functions.text import compare_key
 from recordlake.operators.reference import Reference, build_reference
 from recordlake.operators.rules import validate
+from recordlake.sources.readers import spread
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -24,7 +25,7 @@ def text(c: Column) -> Column:
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
+    orders, customer = spread(table(spark, d, "orders")), table(spark, d, "customer")
     nation, region = table(spark, d, "nation"), table(spark, d, "region")
     joined = (
         orders.join(customer, orders.o_custkey == customer.c_custkey)
@@ -204,15 +205,15 @@ def corrections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """A text and a copy with known damage: every word 'the' is lost, every 'w' is read as a sign the text lacks.
+    """A text and a copy with known damage: every word 'that' is lost, every 'j' is read as a sign the text lacks.
 
     Lost and unreadable tokens cannot be matched, so the edit distance is their number, whatever the text.
     """
-    docs = table(spark, d, "documents").select(
-        text(F.col("doc_id")).alias("id"), F.col("text").alias("reference"), F.col("lang"), F.col("source"), "n_chars")
-    words = F.split(compare_key(F.col("reference")), " ", -1)
-    kept = F.array_join(F.filter(words, lambda w: w != "the"), " ")
-    return docs.withColumn("hypothesis", F.translate(kept, "w", "§"))
+    docs = spread(table(spark, d, "documents")).select(
+        text(F.col("doc_id")).alias("id"), F.col("text").alias("reference"), "lang", "source", "n_chars",
+        compare_key(F.col("text")).alias("ref"))
+    kept = F.array_join(F.filter(F.split("ref", " ", -1), lambda w: w != "that"), " ")
+    return docs.withColumn("hypothesis", F.translate(kept, "j", "§"))
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
@@ -461,6 +462,6 @@ FROM (SELECT *, CASE ext WHEN 'pdf' THEN 'application/pdf' WHEN 'png' THEN 'imag
 SELECT *, record_id AS id, k % 43 = 0 AS failed, CASE WHEN k % 3 = 0 THEN 'm-old' ELSE 'm-new' END AS model,
   CASE WHEN k % 8 = 0 THEN 'v0' ELSE 'v1' END AS prompt_version, k % 50 / 10.0 AS elapsed_seconds FROM n_records"""),
     "v_pairs": ("", r"""
-SELECT CAST(doc_id AS VARCHAR) AS id, lang, source, n_chars, ref, translate(array_to_string(list_filter(string_split(ref, ' '), lambda w: w <> 'the'), ' '), 'w', '§') AS hyp
+SELECT CAST(doc_id AS VARCHAR) AS id, lang, source, n_chars, ref, translate(array_to_string(list_filter(string_split(ref, ' '), lambda w: w <> 'that'), ' '), 'j', '§') AS hyp
 FROM (SELECT *, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS ref FROM documents)"""),
 }

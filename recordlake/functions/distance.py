@@ -12,10 +12,11 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .text import compare_key
 
-_BOUNDS = (32, 256, 2048, 16384)
+_BOUNDS = (16, 64, 256, 1024, 4096, 16384)
 
 # --- fixed values -----------------------------------------------------------
 STRICT_FIELDS = (
@@ -41,43 +42,68 @@ def _words(text: Column) -> Column:
     return F.split(text, " ", -1)
 
 
-def _word_letters(words: Column, vocabulary: Column) -> Column:
-    """Write every word as one character of its own, so that a word sequence becomes a string."""
-    def code_point(word: Column) -> Column:
-        position = F.array_position(vocabulary, word).cast("int")
-        # Skip control characters at the start and the surrogate block in the middle of the code space.
-        number = F.when(position < 0xD000, position + 0x100).otherwise(position + 0x1000)
-        return F.lpad(F.hex(number), 8, "0")
+def _letter(number: int) -> str:
+    # Leave out control characters at the start and the surrogate block in the middle of the code space.
+    return chr(number + 0x100) if number < 0xD000 else chr(number + 0x1000)
 
-    return F.decode(F.unhex(F.array_join(F.transform(words, code_point), "")), "UTF-32")
+
+@F.pandas_udf(StructType([StructField("a", StringType()), StructField("b", StringType())]))
+def word_letters(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Write every word of a pair of texts as one character of its own, so that word sequences become strings.
+
+    Numbering words needs a lookup table per pair. Array functions only offer a linear search for it, which is
+    quadratic on long texts.
+    """
+    pairs = []
+    for x, y in zip(a, b):
+        if x is None or y is None:
+            pairs.append((None, None))
+            continue
+        numbers: dict[str, int] = {}
+        pairs.append(tuple(
+            "".join(_letter(numbers.setdefault(w, len(numbers))) for w in text.split(" ")) for text in (x, y)))
+    return pd.DataFrame(pairs, columns=["a", "b"])
 
 
 def word_distance(a: Column, b: Column) -> Column:
     """Exact edit distance over blank-separated words."""
-    vocabulary = F.array_union(_words(a), _words(b))
-    return edit_distance(_word_letters(_words(a), vocabulary), _word_letters(_words(b), vocabulary))
+    letters = word_letters(a, b)
+    return edit_distance(letters["a"], letters["b"])
 
 
-def char_error_rate(reference: Column, hypothesis: Column) -> Column:
-    ref, hyp = compare_key(reference), compare_key(hypothesis)
+def char_error_rate(ref: Column, hyp: Column) -> Column:
+    """Error rate of normalised texts by characters; an empty reference gives 0 or 1."""
     length = F.length(ref)
     return F.when(length == 0, F.when(F.length(hyp) == 0, 0.0).otherwise(1.0)).otherwise(
         edit_distance(ref, hyp) / F.greatest(length, F.lit(1))
     )
 
 
-def word_error_rate(reference: Column, hypothesis: Column) -> Column:
-    ref, hyp = compare_key(reference), compare_key(hypothesis)
+def word_error_rate(ref: Column, hyp: Column) -> Column:
+    """Error rate of normalised texts by words; the empty text is one empty word."""
     return word_distance(ref, hyp) / F.size(_words(ref))
 
 
 def error_rate(reference: Column, hypothesis: Column, unit: str) -> Column:
-    """Error rate of ``hypothesis`` against ``reference`` over normalised text; unit 'char' or 'word'."""
-    if unit == "char":
-        return char_error_rate(reference, hypothesis)
-    if unit == "word":
-        return word_error_rate(reference, hypothesis)
-    raise ValueError(f"unknown unit: {unit}")
+    """Error rate of ``hypothesis`` against ``reference``; unit 'char' or 'word'.
+
+    For whole tables use :func:`with_error_rates`, which normalises each text once.
+    """
+    rates = {"char": char_error_rate, "word": word_error_rate}
+    if unit not in rates:
+        raise ValueError(f"unknown unit: {unit}")
+    return rates[unit](compare_key(reference), compare_key(hypothesis))
+
+
+def with_error_rates(df: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
+    """Add ``cer`` and ``wer``."""
+    keyed = df.withColumns({"_ref": compare_key(F.col(reference)), "_hyp": compare_key(F.col(hypothesis))})
+    lettered = keyed.withColumn("_letters", word_letters("_ref", "_hyp"))
+    ref, hyp = F.col("_ref"), F.col("_hyp")
+    return lettered.select(
+        *df.columns, char_error_rate(ref, hyp).alias("cer"),
+        (edit_distance(F.col("_letters.a"), F.col("_letters.b")) / F.length("_letters.a")).alias("wer"),
+    )
 
 
 def numbers_equal(a: Column, b: Column) -> Column:
@@ -85,7 +111,7 @@ def numbers_equal(a: Column, b: Column) -> Column:
     return F.coalesce(F.abs(x - y) < NUMBER_TOLERANCE, F.lit(False))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp ratio; Spark has no such built-in."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")

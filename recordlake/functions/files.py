@@ -79,11 +79,12 @@ def size_error(size: Column, max_bytes: int) -> Column:
 
 def content_matches(content: Column, mime: Column) -> Column:
     """Whether the first bytes belong to the given type."""
+    head = F.hex(F.substring(content, 1, 8))
     out = F.lit(False)
     for name, markers in MAGIC_BYTES.items():
         hit = F.lit(False)
         for marker in markers:
-            hit = hit | F.startswith(content, F.lit(bytearray(marker)))
+            hit = hit | F.startswith(head, F.lit(marker.hex().upper()))
         out = F.when(mime == name, hit).otherwise(out)
     return out
 

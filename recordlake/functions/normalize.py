@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import FIELD_NAMES
-from .text import is_blank, literal_map, normalize_text, squash, strip
+from .text import WHITESPACE, empty_to_null, is_blank, literal_map, normalize_text, strip
 
 # --- fixed values -----------------------------------------------------------
 UNIT_SYNONYMS = {
@@ -23,13 +23,11 @@ UNIT_SYNONYMS = {
     "sq metres": "sqm",
 }
 KNOWN_UNITS = ("hectare", "acre", "sqm")
-AREA_PATTERN = r"(?U)^-?\d[\d,]*(\.\d+)?\z"
-DATE_SHAPES = (
-    (r"^\d{4}-\d{1,2}-\d{1,2}\z", "yyyy-M-d"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}\z", "d-M-yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}\z", "d/M/yyyy"),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}\z", "d.M.yyyy"),
+AREA_PATTERN = (
+    rf"(?U)^[{WHITESPACE}]*-?[{WHITESPACE}]*\d[\d,{WHITESPACE}]*(\.[{WHITESPACE}]*\d[\d{WHITESPACE}]*)?\z"
 )
+YEAR_FIRST = r"^((?!0000)\d{4}-\d{1,2}-\d{1,2})\z"
+YEAR_LAST = r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})\z"
 ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}\z"
 # ----------------------------------------------------------------------------
 
@@ -37,10 +35,9 @@ AREA_TYPE = "decimal(38,10)"
 
 
 def parse_area(c: Column) -> Column:
-    """``struct(value, numeric)``: grouping commas and inner whitespace go; other text stays as written."""
-    packed = squash(c)
-    numeric = F.coalesce(F.regexp_like(packed, F.lit(AREA_PATTERN)), F.lit(False))
-    value = F.when(numeric, F.replace(packed, F.lit(","), F.lit(""))).otherwise(F.nullif(strip(c), F.lit("")))
+    """``struct(value, numeric)``: grouping commas and whitespace go from a number; other text stays as written."""
+    numeric = F.coalesce(F.regexp_like(c, F.lit(AREA_PATTERN)), F.lit(False))
+    value = F.when(numeric, F.regexp_replace(c, f"[,{WHITESPACE}]+", "")).otherwise(empty_to_null(strip(c)))
     return F.struct(value.alias("value"), numeric.alias("numeric"))
 
 
@@ -53,23 +50,18 @@ def is_positive_number(c: Column) -> Column:
 def normalize_unit(c: Column) -> Column:
     """Map known spellings to hectare, acre or sqm; keep unknown units trimmed."""
     known = F.element_at(literal_map(UNIT_SYNONYMS), F.lower(normalize_text(c)))
-    return F.coalesce(known, F.nullif(strip(c), F.lit("")), c)
+    return F.coalesce(known, empty_to_null(strip(c)), c)
 
 
 def parse_date(c: Column) -> Column:
-    """DATE for the four accepted shapes, NULL otherwise."""
-    text = strip(c)
-    tries = [
-        F.when(F.regexp_like(text, F.lit(shape)) & ~F.regexp_like(text, F.lit(r"(?<!\d)0000(?!\d)")),
-               F.try_to_date(text, pattern))
-        for shape, pattern in DATE_SHAPES
-    ]
-    return F.coalesce(*tries)
+    """DATE for year-month-day and for day-month-year with dashes, slashes or dots; NULL otherwise."""
+    year_first = F.regexp_replace(strip(c), YEAR_LAST, "$4-$3-$1")
+    return F.regexp_extract(year_first, YEAR_FIRST, 1).try_cast("date")
 
 
 def normalize_date(c: Column) -> Column:
     """ISO text for a recognised date, the trimmed text otherwise."""
-    return F.coalesce(parse_date(c).cast("string"), F.nullif(strip(c), F.lit("")), c)
+    return F.coalesce(parse_date(c).cast("string"), empty_to_null(strip(c)), c)
 
 
 def looks_iso(c: Column) -> Column:
@@ -90,14 +82,16 @@ def normalize_record(df: DataFrame) -> DataFrame:
     """Normalise the record columns of ``df`` and add ``originals``, the raw text of every changed field."""
     names = [n for n in FIELD_NAMES if n in df.columns]
     raw = {n: F.col(n).cast("string") for n in names}
-    changed = [F.when(raw[n].isNotNull() & ~raw[n].eqNullSafe(normalized_field(n, raw[n])), raw[n]) for n in names]
+    # Two projections, so that a normalised value is computed once and then compared.
+    staged = df.select(
+        *[normalized_field(c, raw[c]).alias(c) if c in raw else F.col(c) for c in df.columns if c != "originals"],
+        *[raw[n].alias(f"_raw_{n}") for n in names],
+    )
+    changed = [F.when(~F.col(f"_raw_{n}").eqNullSafe(F.col(n)), F.col(f"_raw_{n}")) for n in names]
     originals = F.map_filter(
         F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*changed)), lambda _, v: v.isNotNull()
     )
-    return df.select(
-        *[normalized_field(c, raw[c]).alias(c) if c in raw else F.col(c) for c in df.columns if c != "originals"],
-        originals.alias("originals"),
-    )
+    return staged.select(*[c for c in df.columns if c != "originals"], originals.alias("originals"))
 
 
 def coerce_record_date(c: Column) -> Column:

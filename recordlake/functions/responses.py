@@ -59,7 +59,8 @@ def coerce_value(v: Column) -> Column:
 
 def clamp_confidence(number: Column) -> Column:
     """A double clamped to [0, 1]; NaN becomes NULL."""
-    return F.when(~F.isnan(number), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
+    # greatest and least skip NULL, so NULL has to be kept out of them.
+    return F.when(number.isNotNull() & ~F.isnan(number), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
 
 
 def coerce_confidence(v: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import error_rate
 from ..schemas import FIELD_VERDICTS
 
 
@@ -39,12 +38,6 @@ def field_accuracy(verdicts: DataFrame) -> DataFrame:
     )
 
 
-def text_error_rates(df: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
-    """Add ``cer`` and ``wer``. Rows are spread evenly first, because the cost of a row depends on its length."""
-    r, h = F.col(reference), F.col(hypothesis)
-    return df.withColumns({"cer": error_rate(r, h, "char"), "wer": error_rate(r, h, "word")})
-
-
 def ocr_summary(df: DataFrame) -> DataFrame:
     """Documents, failures, mean error rates of those that did not fail, total seconds."""
     ok = ~F.coalesce(F.col("failed"), F.lit(False))

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import classify_fields
+from ..functions.distance import classify_fields, with_error_rates
 from ..operators import aggregates as agg
 from ..operators import evaluation as ev
 from ..operators.joins import align_fields, plan_rerun, with_missing
@@ -45,7 +45,7 @@ def ocr_benchmark(truth: DataFrame, ocr: DataFrame) -> tuple[DataFrame, DataFram
     )
     joined = truth.select("id", F.col("text").alias("reference"), F.size("lines").alias("lines_expected")).join(read, "id", "left")
     empty = ~F.coalesce(F.regexp_like("hypothesis", F.lit(r"(?U)\S")), F.lit(False))
-    rated = ev.text_error_rates(joined.withColumns({
+    rated = with_error_rates(joined.withColumns({
         "hypothesis": F.coalesce("hypothesis", F.lit("")),
         "failed": F.col("error").isNotNull() | empty,
         "error": F.coalesce("error", F.when(empty, F.lit("empty OCR output"))),
@@ -63,7 +63,7 @@ def compare_configs(truth: DataFrame, before: DataFrame, after: DataFrame) -> tu
         return df.select("id", F.col("text").alias("hypothesis"), "seconds", F.lit(phase).alias("phase"))
 
     both = run(before, "before").unionByName(run(after, "after"))
-    rated = ev.text_error_rates(both.join(truth.select("id", "family", F.col("text").alias("reference")), "id"))
+    rated = with_error_rates(both.join(truth.select("id", "family", F.col("text").alias("reference")), "id"))
     slim = rated.select("id", "family", "phase", "cer", "wer", "seconds")
     from ..operators.joins import compare_phases
 

@@ -13,6 +13,12 @@ from ..functions.text import strip
 from ..operators import skew
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input a partition per core; an input that already has as many is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 

@@ -1,22 +1,24 @@
 """Edit distance, error rates and field verdicts.
 
-Distances use the built-in ``levenshtein``, which works on code points. Its bounded form costs length times bound
-instead of length squared, so the exact distance is searched with growing bounds and the unbounded form is only
-reached by pairs that really are far apart. Texts are compared whole.
+Short texts use the built-in ``levenshtein``. Its time grows with the product of the lengths, and its bounded form is
+hardly faster on long texts, so long texts and word sequences go through an Arrow function that handles a whole column
+of the distance table in a few integer operations. Texts are compared whole.
 """
 
 from __future__ import annotations
 
 import difflib
+from collections.abc import Hashable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType
 
 from .text import compare_key
 
-_BOUNDS = (16, 64, 256, 1024, 4096, 16384)
+SHORT_TEXT = 512
 
 # --- fixed values -----------------------------------------------------------
 STRICT_FIELDS = (
@@ -32,43 +34,59 @@ NUMBER_TOLERANCE = 1e-9
 # ----------------------------------------------------------------------------
 
 
-def edit_distance(a: Column, b: Column) -> Column:
-    """Exact character edit distance."""
-    tries = [F.nullif(F.levenshtein(a, b, bound), F.lit(-1)) for bound in _BOUNDS]
-    return F.coalesce(*tries, F.levenshtein(a, b))
-
-
-def _words(text: Column) -> Column:
-    return F.split(text, " ", -1)
-
-
-def _letter(number: int) -> str:
-    # Leave out control characters at the start and the surrogate block in the middle of the code space.
-    return chr(number + 0x100) if number < 0xD000 else chr(number + 0x1000)
-
+def sequence_distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
+    """Levenshtein distance of two sequences, with one distance column per step held as bits (Myers 1999, Hyyrö 2003).
 
-@F.pandas_udf(StructType([StructField("a", StringType()), StructField("b", StringType())]))
-def word_letters(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Write every word of a pair of texts as one character of its own, so that word sequences become strings.
-
-    Numbering words needs a lookup table per pair. Array functions only offer a linear search for it, which is
-    quadratic on long texts.
+    ``up`` and ``down`` mark the rows of the column where the distance rises or falls by one from the row above.
     """
-    pairs = []
-    for x, y in zip(a, b):
-        if x is None or y is None:
-            pairs.append((None, None))
-            continue
-        numbers: dict[str, int] = {}
-        pairs.append(tuple(
-            "".join(_letter(numbers.setdefault(w, len(numbers))) for w in text.split(" ")) for text in (x, y)))
-    return pd.DataFrame(pairs, columns=["a", "b"])
-
-
-def word_distance(a: Column, b: Column) -> Column:
+    rows = len(a)
+    if rows == 0:
+        return len(b)
+    places: dict[Hashable, list[int]] = {}
+    for i, item in enumerate(a):
+        places.setdefault(item, []).append(i)
+    width = (rows + 7) // 8
+    match = {}
+    for item, at in places.items():
+        bits = np.zeros(width * 8, dtype=np.uint8)
+        bits[at] = 1
+        match[item] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    full, last = (1 << rows) - 1, 1 << (rows - 1)
+    up, down, distance = full, 0, rows
+    for item in b:
+        same = match.get(item, 0)
+        vertical = same | down
+        horizontal = (((same & up) + up) ^ up) | same
+        rise = down | (full & ~(horizontal | up))
+        fall = up & horizontal
+        if rise & last:
+            distance += 1
+        elif fall & last:
+            distance -= 1
+        rise, fall = ((rise << 1) | 1) & full, (fall << 1) & full
+        up, down = fall | (full & ~(vertical | rise)), rise & vertical
+    return distance
+
+
+@F.pandas_udf(IntegerType())
+def _long_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else sequence_distance(x, y) for x, y in zip(a, b)], dtype="Int32")
+
+
+@F.pandas_udf(IntegerType())
+def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Exact edit distance over blank-separated words."""
-    letters = word_letters(a, b)
-    return edit_distance(letters["a"], letters["b"])
+    return pd.Series(
+        [None if x is None or y is None else sequence_distance(x.split(" "), y.split(" ")) for x, y in zip(a, b)],
+        dtype="Int32",
+    )
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """Exact character edit distance."""
+    long = F.greatest(F.length(a), F.length(b)) > SHORT_TEXT
+    # A Python function runs for every row it is planned for; short pairs reach it as NULL.
+    return F.when(long, _long_distance(F.when(long, a), F.when(long, b))).otherwise(F.levenshtein(a, b))
 
 
 def char_error_rate(ref: Column, hyp: Column) -> Column:
@@ -81,7 +99,7 @@ def char_error_rate(ref: Column, hyp: Column) -> Column:
 
 def word_error_rate(ref: Column, hyp: Column) -> Column:
     """Error rate of normalised texts by words; the empty text is one empty word."""
-    return word_distance(ref, hyp) / F.size(_words(ref))
+    return word_distance(ref, hyp) / F.size(F.split(ref, " ", -1))
 
 
 def error_rate(reference: Column, hypothesis: Column, unit: str) -> Column:
@@ -98,11 +116,9 @@ def error_rate(reference: Column, hypothesis: Column, unit: str) -> Column:
 def with_error_rates(df: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     """Add ``cer`` and ``wer``."""
     keyed = df.withColumns({"_ref": compare_key(F.col(reference)), "_hyp": compare_key(F.col(hypothesis))})
-    lettered = keyed.withColumn("_letters", word_letters("_ref", "_hyp"))
     ref, hyp = F.col("_ref"), F.col("_hyp")
-    return lettered.select(
-        *df.columns, char_error_rate(ref, hyp).alias("cer"),
-        (edit_distance(F.col("_letters.a"), F.col("_letters.b")) / F.length("_letters.a")).alias("wer"),
+    return keyed.select(
+        *df.columns, char_error_rate(ref, hyp).alias("cer"), word_error_rate(ref, hyp).alias("wer")
     )
 
 

@@ -241,7 +241,7 @@ FROM n_records a LEFT JOIN {_USABLE} u USING (record_id) LEFT JOIN {_MATCHES} m
 LEFT JOIN (SELECT record_id, count(*) AS n, count(*) FILTER (severity = 'ERROR') AS bad FROM r_issues GROUP BY 1) i ON i.record_id = a.record_id WHERE a.k % 4 <> 1""", "n_records r_issues")
 def _(spark, d):
     pages, answers, stored = _arrivals(spark, d)
-    out = process.prepare_batch(pages, answers, v.reference(spark, d), stored)
+    out = process.prepare_batch(pages, answers, v.reference(spark, d), stored, scratch(spark, "batch"))
     return out.select("document_id", "error_code", "match_count", F.size("issues").cast("bigint").alias("issues"), "outcome.document_status")
 
 
@@ -343,7 +343,7 @@ def _(spark, d):
 
 def _stream(spark, d):
     schema = v.table(spark, d, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _finish(spark, df, name: str):

@@ -77,43 +77,54 @@ def confidence_from_text(c: Column) -> Column:
     return clamp_confidence(strip(c).try_cast("double"))
 
 
+def envelope_fields(body: Column) -> Column:
+    """The ``fields`` object of a parsed response, NULL when there is none."""
+    fields = F.try_variant_get(body, "$.fields", "variant")
+    return F.when(_is_object(body) & _is_object(fields), fields)
+
+
 def parse_envelope(raw_text: Column) -> Column:
     """``struct(fields VARIANT, error_code)`` of a response body; anything but {"fields": {...}} is an error."""
-    body = F.try_parse_json(raw_text)
-    fields = F.when(_is_object(body), F.try_variant_get(body, "$.fields", "variant"))
-    good = _is_object(fields)
-    return F.struct(
-        F.when(good, fields).alias("fields"), F.when(~good, F.lit(BAD_RESPONSE)).alias("error_code")
-    )
+    fields = envelope_fields(F.try_parse_json(raw_text))
+    return F.struct(fields.alias("fields"), F.when(fields.isNull(), F.lit(BAD_RESPONSE)).alias("error_code"))
 
 
 def map_fields(fields: Column) -> Column:
-    """``map<name, struct(value, confidence, status)>`` over the known names; unknown names are ignored."""
-    def one(name: str) -> Column:
-        entry = F.try_variant_get(fields, f"$.{name}", "variant")
-        value = coerce_value(F.try_variant_get(entry, "$.value", "variant"))
-        confidence = coerce_confidence(F.try_variant_get(entry, "$.confidence", "variant"))
-        known = _is_object(entry)
-        return F.struct(
-            F.when(known, value["value"]).alias("value"),
-            F.when(known, confidence).alias("confidence"),
-            F.when(known, value["status"]).otherwise(F.lit("MISSING")).alias("status"),
-        )
-
-    return F.map_from_arrays(F.array(*[F.lit(n) for n in FIELD_NAMES]), F.array(*[one(n) for n in FIELD_NAMES]))
+    """``map<name, struct(value, confidence, status)>`` over the known names; unknown names are ignored.
+
+    Written as a chain of small array steps, so that each intermediate value exists once.
+    """
+    names = F.array(*[F.lit(n) for n in FIELD_NAMES])
+    objects = F.try_variant_get(fields, "$", "map<string,variant>")
+    entries = F.transform(names, lambda n: F.element_at(objects, n))
+    parts = F.transform(entries, lambda e: F.struct(
+        _is_object(e).alias("known"), F.try_variant_get(e, "$.value", "variant").alias("value"),
+        F.try_variant_get(e, "$.confidence", "variant").alias("confidence"),
+    ))
+    coerced = F.transform(parts, lambda p: F.struct(
+        p["known"].alias("known"), coerce_value(p["value"]).alias("v"), coerce_confidence(p["confidence"]).alias("confidence"),
+    ))
+    results = F.transform(coerced, lambda c: F.struct(
+        F.when(c["known"], c["v"]["value"]).alias("value"),
+        F.when(c["known"], c["confidence"]).alias("confidence"),
+        F.when(c["known"], c["v"]["status"]).otherwise(F.lit("MISSING")).alias("status"),
+    ))
+    return F.map_from_arrays(names, results)
 
 
 def parse_model_responses(df: DataFrame, text: str = "raw_text") -> DataFrame:
-    """Add ``failed``, ``error_code``, ``fields`` and ``values`` to a table of raw responses."""
-    parsed = df.withColumn("_envelope", parse_envelope(strip_fences(F.col(text))))
-    fields = F.when(F.col("_envelope.error_code").isNull(), map_fields(F.col("_envelope.fields")))
-    out = parsed.select(
-        *df.columns,
-        F.col("_envelope.error_code").isNotNull().alias("failed"),
-        F.col("_envelope.error_code").alias("error_code"),
-        fields.alias("fields"),
+    """Add ``failed``, ``error_code``, ``fields`` and ``values`` to a table of raw responses.
+
+    The steps are separate flat columns: a struct that is only taken apart again would be copied into every use.
+    """
+    bodies = df.withColumn("_body", F.try_parse_json(strip_fences(F.col(text))))
+    enveloped = bodies.withColumn("_fields", envelope_fields(F.col("_body")))
+    bad = F.col("_fields").isNull()
+    mapped = enveloped.select(
+        *df.columns, bad.alias("failed"), F.when(bad, F.lit(BAD_RESPONSE)).alias("error_code"),
+        F.when(~bad, map_fields(F.col("_fields"))).alias("fields"),
     )
-    return out.withColumn("values", F.transform_values("fields", lambda _, f: f["value"]))
+    return mapped.withColumn("values", F.transform_values("fields", lambda _, f: f["value"]))
 
 
 def response_text(raw: Column, shape: str) -> Column:

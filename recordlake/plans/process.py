@@ -30,13 +30,22 @@ def values_to_columns(df: DataFrame, values: str = "values") -> DataFrame:
     return df.select("*", *[F.element_at(F.col(values), n).alias(n) for n in FIELD_NAMES])
 
 
+def stored_once(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as a table and read it back, so that later steps do not compute it again or lose it."""
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def prepare_batch(ocr: DataFrame, responses: DataFrame, reference: Reference | None, existing: DataFrame,
-                  within_batch: bool = True) -> DataFrame:
+                  stage_path: str, within_batch: bool = True) -> DataFrame:
     """One row per document: parsed, normalised, checked, compared with other records, typed, with its outcome.
 
     ``ocr`` has (document_id, pages), ``responses`` (job_id, document_id, user_id, raw_text, provider, model,
     prompt_version, schema_version), ``existing`` the stored records. A response that cannot be read, or a document
     without text, comes out with ``error_code`` and no record.
+
+    The comparison reads the checked rows several times, so they are stored under ``stage_path`` first: responses are
+    parsed and checked once, and the plan of the comparison starts from a plain table.
     """
     parsed = parse_model_responses(responses)
     joined = parsed.join(ocr.select("document_id", "pages"), "document_id", "left")
@@ -45,8 +54,9 @@ def prepare_batch(ocr: DataFrame, responses: DataFrame, reference: Reference | N
         "error_code",
         F.when(~F.coalesce(has_text, F.lit(False)), F.lit("OCR_FAILED")).otherwise(F.col("error_code")),
     )
-    usable = normalize_record(values_to_columns(staged.filter("error_code is null")))
-    checked = rules.validate(usable, reference)
+    checked_rows = rules.validate(normalize_record(values_to_columns(staged)), reference)
+    rows = stored_once(ocr.sparkSession, checked_rows, f"{stage_path}/checked")
+    checked, failed = rows.filter("error_code is null"), rows.filter("error_code is not null")
     compared = duplicates.find_duplicates_incremental(checked, existing, within_batch)
     judged = duplicates.add_duplicate_issue(compared).withColumn("verdict", rules.record_verdict(F.col("issues")))
     typed = coerce_typed_columns(judged.withColumn("outcome", rules.map_verdict(F.col("verdict"), F.size("issues"))))
@@ -54,18 +64,11 @@ def prepare_batch(ocr: DataFrame, responses: DataFrame, reference: Reference | N
                           for x in (F.lit(name), F.coalesce(F.col(name).cast("string"), F.lit("")))])
     lost = F.when(F.size("dropped") > 0, F.create_map(F.lit("unrepresentable_values"), F.to_json("dropped")))
     good = typed.withColumn("metadata", F.map_concat(info, F.coalesce(lost, F.create_map().cast("map<string,string>"))))
-    failed = staged.filter("error_code is not null")
     keep = ["job_id", "document_id", "user_id", "error_code", "pages", "fields", *FIELD_NAMES, "originals", "dropped",
             "issues", "duplicate_key", "match_count", "verdict", "outcome", "metadata"]
     return good.select(*keep).unionByName(failed.select("job_id", "document_id", "user_id", "error_code"), allowMissingColumns=True)
 
 
-def stored_once(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` as a table and read it back, so that later steps do not compute it again or lose it."""
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def process_batch(ocr: DataFrame, responses: DataFrame, reference: Reference | None, tables: dict[str, DataFrame],
                   now: datetime, stage_path: str, within_batch: bool = True) -> dict[str, DataFrame]:
     """Process a batch and return new table versions; ``stage_path`` is a folder all executors can reach.
@@ -73,8 +76,8 @@ def process_batch(ocr: DataFrame, responses: DataFrame, reference: Reference | N
     Failed documents are reported in ``failures`` as (job_id, document_id, user_id, error_code); hand them to
     :func:`recordlake.operators.state.fail_jobs`.
     """
-    prepared = prepare_batch(ocr, responses, reference, tables["land_records"], within_batch)
-    batch = stored_once(ocr.sparkSession, prepared, stage_path)
+    prepared = prepare_batch(ocr, responses, reference, tables["land_records"], stage_path, within_batch)
+    batch = stored_once(ocr.sparkSession, prepared, f"{stage_path}/prepared")
     out = persist_results(batch.filter("error_code is null"), tables, now)
     out["failures"] = batch.filter("error_code is not null").select("job_id", "document_id", "user_id", "error_code")
     return out

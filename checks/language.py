@@ -401,7 +401,7 @@ def _evaluation(spark, d):
 
 
 @check("a9_evaluation_summary", """
-SELECT count(*) AS documents, count(*) FILTER (bad) AS failures, round(avg(CASE WHEN NOT bad THEN round((7 - lost) / 7, 4) END), 4) AS mean_accuracy,
+SELECT count(*) AS documents, count(*) FILTER (bad) AS failures, avg(CASE WHEN NOT bad THEN round((7 - lost) / 7, 4) END) AS mean_accuracy,
   CAST(sum(CASE WHEN NOT bad THEN 7 - lost END) AS BIGINT) AS correct, CAST(0 AS BIGINT) AS incorrect, CAST(sum(CASE WHEN NOT bad THEN lost END) AS BIGINT) AS missing,
   CAST(0 AS BIGINT) AS hallucinated, CAST(0 AS BIGINT) AS partially_correct
 FROM (SELECT failed OR k % 11 = 0 AS bad, CASE WHEN k % 9 = 0 AND village IS NOT NULL THEN 1 ELSE 0 END AS lost FROM v_outputs)""", "v_outputs")

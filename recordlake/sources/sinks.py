@@ -109,11 +109,14 @@ def latest_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def render_report(row) -> str:
     """Markdown of one report row: nested values as tables, everything else as a list."""
+    def shown(value):
+        return round(value, 4) if isinstance(value, float) else value
+
     lines = ["# Evaluation report", ""]
     values = row.asDict(recursive=True)
-    lines += [f"- {k}: {v}" for k, v in values.items() if not isinstance(v, (dict, list))]
+    lines += [f"- {k}: {shown(v)}" for k, v in values.items() if not isinstance(v, (dict, list))]
     for name, value in values.items():
         if isinstance(value, dict):
             lines += ["", f"## {name}", "", "| key | value |", "|---|---|"]
-            lines += [f"| {k} | {v} |" for k, v in sorted(value.items())]
+            lines += [f"| {k} | {shown(v)} |" for k, v in sorted(value.items())]
     return "\n".join(lines) + "\n"

@@ -348,7 +348,7 @@ _VERDICTS = f"""(SELECT id, field_name, CASE WHEN expected IS NULL AND got IS NU
   WHEN trim(expected) <> '' AND trim(got) <> '' AND (contains(lower(got), lower(expected)) OR contains(lower(expected), lower(got))) THEN 'PARTIALLY_CORRECT' ELSE 'INCORRECT' END AS verdict FROM {_GOT})"""
 
 
-@check("n29_numbers_equal", "SELECT id, TRY_CAST(expected AS DOUBLE) IS NOT NULL AND abs(TRY_CAST(expected AS DOUBLE) - TRY_CAST(got AS DOUBLE)) < 1e-9 AS same FROM "
+@check("n29_numbers_equal", "SELECT id, coalesce(abs(TRY_CAST(expected AS DOUBLE) - TRY_CAST(got AS DOUBLE)) < 1e-9, false) AS same FROM "
        f"(SELECT id, expected, coalesce(got, 'x') AS got FROM {_GOT} WHERE field_name = 'area')", "n_records")
 def _(spark, d):
     rows = _truth_pairs(spark, d).filter("field_name = 'area'")

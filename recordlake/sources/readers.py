@@ -55,7 +55,9 @@ def read_ground_truth(spark: SparkSession, path: str, kind: str = "text") -> Dat
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Files as rows; bytes are read by executors, and only where a later step uses them."""
+    """Files as rows; bytes are read by executors, and only where a later step uses them.
+
+    Spark's file scan leaves out files without content, so EMPTY_FILE is only reported for tables of files."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
     return raw.select(
         "path", "length", "content", F.regexp_extract("path", r"([^/]*)$", 1).alias("filename"),

@@ -152,7 +152,9 @@ def test_file_ingest(spark, tmp_path):
     folder.mkdir()
     for name, content in {"a.pdf": b"%PDF-1.4", "b.png": b"no image", "c.exe": b"MZ", "d.tif": b"", "e.jpg": b"\xff\xd8\xff" + b"x" * 50}.items():
         (folder / name).write_bytes(content)
-    ok, bad = readers.ingest_files(readers.read_files(spark, str(folder)), 40)
+    # The scan skips the empty file, so it is added the way a landing table would hold it.
+    empty = spark.createDataFrame([("d", 0, bytearray(b""), "d.tif", None)], "path string, length long, content binary, filename string, declared_mime string")
+    ok, bad = readers.ingest_files(readers.read_files(spark, str(folder)).unionByName(empty), 40)
     assert [r.file_name for r in ok.collect()] == ["a.pdf"]
     assert {r.file_name: r.error_code for r in bad.collect()} == {
         "b.png": "FILE_CONTENT_MISMATCH", "c.exe": "UNSUPPORTED_FILE_TYPE", "d.tif": "EMPTY_FILE", "e.jpg": "FILE_TOO_LARGE"}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import FIELD_NAMES
-from .text import WHITESPACE, empty_to_null, is_blank, literal_map, normalize_text, strip
+from .text import SPACE, WHITESPACE, empty_to_null, is_blank, literal_map, normalize_text, strip
 
 # --- fixed values -----------------------------------------------------------
 UNIT_SYNONYMS = {
@@ -37,7 +37,7 @@ AREA_TYPE = "decimal(38,10)"
 def parse_area(c: Column) -> Column:
     """``struct(value, numeric)``: grouping commas and whitespace go from a number; other text stays as written."""
     numeric = F.coalesce(F.regexp_like(c, F.lit(AREA_PATTERN)), F.lit(False))
-    value = F.when(numeric, F.regexp_replace(c, f"[,{WHITESPACE}]+", "")).otherwise(empty_to_null(strip(c)))
+    value = F.when(numeric, F.regexp_replace(c, f",|{SPACE}", "")).otherwise(empty_to_null(strip(c)))
     return F.struct(value.alias("value"), numeric.alias("numeric"))
 
 

@@ -12,11 +12,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WHITESPACE = r"\t-\r\x1c-\x1f \x85\xa0  -     　"
-_RUN = f"[{WHITESPACE}]+"
+# Visible ASCII is ruled out by two ranges before the long list is looked at.
+SPACE = rf"[\x00-\x20\x7f-￿&&[{WHITESPACE}]]"
+_ODD_SPACE = rf"[\x00-\x1f\x7f-￿&&[{WHITESPACE}]]"
+_RUN = f"{SPACE}+"
 # Only runs that differ from a single blank, so that clean text is returned as it is.
-_UNTIDY = f" [{WHITESPACE}]+|[{WHITESPACE}&&[^ ]][{WHITESPACE}]*"
-_EDGES = rf"^[{WHITESPACE}]+|[{WHITESPACE}]+\z"
-_INK = f"[^{WHITESPACE}]"
+_UNTIDY = f" {SPACE}+|{_ODD_SPACE}{SPACE}*"
+_EDGES = rf"^{SPACE}+|{SPACE}+\z"
+_INK = f"[!-~]|[^{WHITESPACE}]"
 
 
 def strip(c: Column) -> Column:

@@ -1,5 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -25,4 +27,5 @@ def test_query_equals_sql(spark, con, name):
 
 def test_names_agree():
     assert set(SQL) <= set(QUERIES)
-    assert sorted(set(QUERIES) - set(SQL)) == ["n30_similarity"]
+    bare = {q for q in set(QUERIES) - set(SQL) if not re.match(r"op\d+_|pipeline$", q)}
+    assert sorted(bare) == ["n30_similarity"]

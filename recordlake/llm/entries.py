@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import licenses, lines, packing, simhash, tokens, winnow
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,7 +21,33 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import simhash
-
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+SQL["op3_line_dedup"] = lines.SQL
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digest(documents(spark, sf_dir))
+
+
+@query
+def op9_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.edited_fingerprints(documents(spark, sf_dir))
+
+
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(documents(spark, sf_dir)))
+
+
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.length_histogram(tokens.token_counts(documents(spark, sf_dir)))
+
+
+@query
+def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(documents(spark, sf_dir))

@@ -16,18 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, pieces
+from .common import WORDS_AT_ONCE, arrow_schema, id_and_text, pieces, plain_words
 from .license_texts import PHRASES, TEMPLATES
 
-#: Bytes to word bytes: A-Z lowered, every other ASCII character but a-z and 0-9 to a space.
-TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-WORDS_AT_ONCE = 1 << 16
-
-
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(TO_WORDS).split()
-
-
 class Automaton:
     """Generalised suffix automaton of word sequences; ``phrases[s]`` and ``ends[s]`` say what ends in state ``s``."""
 
@@ -112,14 +103,14 @@ class Scanner:
     def __init__(self, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, min_match: int = 4, max_gap: int = 8, min_cover: float = 0.8):
         self.phrase_labels = list(phrases.values())
         self.labels = [label for label, _ in templates]
-        words = [words_of(t.encode()) for _, t in templates]
+        words = [plain_words(t.encode()) for _, t in templates]
         self.sizes = [len(w) for w in words]
-        self.automaton = Automaton(words, [words_of(p.encode()) for p in phrases])
+        self.automaton = Automaton(words, [plain_words(p.encode()) for p in phrases])
         self.min_match, self.max_gap, self.min_cover = min_match, max_gap, min_cover
 
     def scan(self, text: bytes) -> dict:
         """Word count, places of the phrases, and the spans (label, first word, last word, share of the template covered)."""
-        words, a = words_of(text), self.automaton
+        words, a = plain_words(text), self.automaton
         n_base, first, last, base = 0, None, None, set()
         chains: dict[int, list[int]] = {}  # template: first word, last word, last template place, words covered
         spans = []
@@ -177,8 +168,6 @@ def scan(docs: DataFrame, scanner: Scanner | None = None, id_col: str = "doc_id"
     empty text has no words, null places, empty labels and score 0. Repeated rows and null ids stay rows of their own; other columns
     are not read; an empty table gives an empty one.
     """
-    from .common import arrow_schema
-
     scanner = scanner or Scanner()
     fields = arrow_schema(SCHEMA)
 

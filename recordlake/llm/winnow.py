@@ -20,32 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, pieces
+from .common import id_and_text, pieces, rolled, sliding_min
 
-MULTIPLIER = 0x9E3779B97F4A7C15
 #: Code points hashed at once; blocks overlap, so the selection does not depend on it.
 BLOCK = 1 << 18
 OUT_BYTES = 4 << 20
 
 
 def gram_hashes(points: np.ndarray, k: int) -> np.ndarray:
-    """32-bit hashes of all ``k``-grams, rolled together from those of 1, 2, 4, ... code points."""
-    with np.errstate(over="ignore"):
-        powers, grams, n = np.uint64(MULTIPLIER), points.astype(np.uint64) + np.uint64(1), 1
-        done, length = None, 0
-        while True:
-            if k & n:
-                # What is done covers the code points before these.
-                done = grams if done is None else done[:len(grams) - length] * powers + grams[length:][:len(done)]
-                length += n
-            n *= 2
-            if n > k:
-                break
-            grams = grams[:-(n // 2)] * powers + grams[n // 2:]
-            powers = powers * powers
-        done = done[:len(points) - k + 1]
-        done = (done ^ (done >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return done >> np.uint64(32)
+    """32-bit hashes of all ``k``-grams."""
+    return rolled(points.astype(np.uint64) + np.uint64(1), k) >> np.uint64(32)
 
 
 def select(text: str, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,12 +46,7 @@ def select(text: str, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
         hashes = gram_hashes(points[at:end + k - 1], k)
         # Hash above, place from the right below: the smallest is the rightmost smallest hash.
         low = (hashes << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - np.arange(at, end, dtype=np.uint64))
-        n = 1
-        while 2 * n <= window:
-            low = np.minimum(low[:-n], low[n:])
-            n *= 2
-        if n < window:
-            low = np.minimum(low[:-(window - n)], low[window - n:])
+        low = sliding_min(low, window)
         found.append(low[np.concatenate(([True], low[1:] != low[:-1]))])
     low = np.concatenate(found)
     low = low[np.concatenate(([True], low[1:] != low[:-1]))]

@@ -75,16 +75,17 @@ def arrow_schema(ddl: str) -> list[pa.Field]:
     return list(to_arrow_schema(StructType.fromDDL(ddl)))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The table written once to the folder of ``spark.checkpoint.dir``, so that later steps survive lost executors.
-
-    Only a session that names no such folder, as in tests, gets one beside its warehouse.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only a session that names none, as in tests, gets one beside its warehouse."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints-{uuid.uuid4().hex[:8]}"
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return sc.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The table written once to the shared folder, so that later steps survive lost executors; Spark removes it after use."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -191,3 +192,10 @@ def bitmap_of(hashes: DataFrame, column: str, log_bits: int) -> np.ndarray:
 def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     slot = hashes & np.uint64(8 * len(bits) - 1)
     return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written as Parquet below the folder of ``spark.checkpoint.dir`` and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -112,18 +112,32 @@ def _(spark, d):
     return sinks.upsert(rows.filter((k % 4 != 0) | (k % 3 != 0)), updates, "record_id", ["status"])
 
 
-@check("s12_export_records", """
-SELECT r.record_id, r.status, coalesce(f.n, 0) AS fields, coalesce(f.names, '') AS names, coalesce(i.n, 0) AS issues, 'v1' AS format_version FROM v_records r
-LEFT JOIN (SELECT record_id, count(*) AS n, string_agg(field_name, ',' ORDER BY field_name) AS names FROM v_fields GROUP BY 1) f USING (record_id)
-LEFT JOIN (SELECT record_id, count(DISTINCT (rule_id, coalesce(field_name, ''))) AS n FROM v_issues GROUP BY 1) i USING (record_id)""", "v_records v_fields v_issues")
+_ALL_FIELDS = """(SELECT record_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS v FROM (
+  SELECT record_id, field_name || '=' || coalesce(value, 'NULL') || '/' || coalesce(extraction_status, '') AS x FROM v_fields) GROUP BY 1)"""
+_ALL_ISSUES = """(SELECT record_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS v FROM (
+  SELECT record_id, rule_id || ':' || coalesce(field_name, '') || ':' || status || ':' || coalesce(severity, '') || ':' || message AS x FROM v_issues) GROUP BY 1)"""
+
+
+def _children(out):
+    """The children of detail rows as sorted text, and their numbers."""
+    def none(c):
+        return F.coalesce(c, F.lit(""))
+
+    fields = F.transform("extracted_fields", lambda f: F.concat(f["field_name"], F.lit("="), F.coalesce(f["value"], F.lit("NULL")), F.lit("/"), none(f["extraction_status"])))
+    issues = F.transform("validation", lambda i: F.concat_ws(":", i["rule_id"], none(i["field_name"]), i["status"], none(i["severity"]), i["message"]))
+    return [F.array_join(F.array_sort(fields), ",").alias("field_values"), F.size("extracted_fields").cast("bigint").alias("fields"),
+            F.array_join(F.array_sort(issues), ",").alias("findings"), F.size("validation").cast("bigint").alias("issues")]
+
+
+@check("s12_export_records", f"""
+SELECT r.record_id, r.status, coalesce(f.n, 0) AS fields, coalesce(f.v, '') AS field_values, coalesce(i.n, 0) AS issues, coalesce(i.v, '') AS findings,
+  'v1' AS format_version, 0 AS part FROM v_records r
+LEFT JOIN {_ALL_FIELDS} f USING (record_id) LEFT JOIN {_ALL_ISSUES} i USING (record_id)""", "v_records v_fields v_issues")
 def _(spark, d):
     recs = v.records(spark, d)
     docs = recs.select(F.col("document_id").alias("id"), F.lit("a.pdf").alias("file_name"))
-    out = sinks.export_records(recs, v.fields(spark, d), v.issues(spark, d), docs, NOW)
-    return out.select(
-        "record.record_id", "record.status", F.size("extracted_fields").cast("bigint").alias("fields"),
-        F.array_join(F.array_sort(F.transform("extracted_fields", lambda f: f["field_name"])), ",").alias("names"),
-        F.size("validation").cast("bigint").alias("issues"), "format_version")
+    out = sinks.export_records(recs, v.fields(spark, d), v.issues(spark, d), docs, NOW, part_rows=10_000)
+    return out.select("record.record_id", "record.status", *_children(out), "format_version", "part")
 
 
 @check("s13_export_audit", """
@@ -295,25 +309,23 @@ def _(spark, d):
     return joins.align_fields(truth, v.outputs(spark, d))
 
 
-@check("j3_record_detail", """
-SELECT r.record_id, coalesce(f.v, '') AS field_values, coalesce(i.v, '') AS rules, r.record_id || '.pdf' AS file_name FROM v_records r
-LEFT JOIN (SELECT record_id, string_agg(field_name || '=' || coalesce(value, 'NULL'), ',' ORDER BY field_name) AS v FROM v_fields GROUP BY 1) f USING (record_id)
-LEFT JOIN (SELECT record_id, string_agg(x, ',' ORDER BY x) AS v FROM (SELECT DISTINCT record_id, rule_id || ':' || coalesce(field_name, '') AS x FROM v_issues) GROUP BY 1) i USING (record_id)""",
-       "v_records v_fields v_issues")
+@check("j3_record_detail", f"""
+SELECT r.record_id, coalesce(f.n, 0) AS fields, coalesce(f.v, '') AS field_values, coalesce(i.n, 0) AS issues, coalesce(i.v, '') AS findings, r.record_id || '.pdf' AS file_name
+FROM v_records r LEFT JOIN {_ALL_FIELDS} f USING (record_id) LEFT JOIN {_ALL_ISSUES} i USING (record_id)""", "v_records v_fields v_issues")
 def _(spark, d):
     recs = v.records(spark, d)
     docs = recs.select(F.col("document_id").alias("id"), F.concat("document_id", F.lit(".pdf")).alias("file_name"))
-    out = joins.record_detail(recs, v.fields(spark, d), v.issues(spark, d), docs)
-    shown = F.transform("extracted_fields", lambda f: F.concat(f["field_name"], F.lit("="), F.coalesce(f["value"], F.lit("NULL"))))
-    found = F.transform("validation", lambda i: F.concat(i["rule_id"], F.lit(":"), F.coalesce(i["field_name"], F.lit(""))))
-    return out.select("record_id", F.array_join(F.array_sort(shown), ",").alias("field_values"),
-                      F.array_join(F.array_sort(found), ",").alias("rules"), "document.file_name")
+    out = joins.record_detail(recs, v.fields(spark, d), v.issues(spark, d), docs, part_rows=10_000)
+    return out.select("record_id", *_children(out), "document.file_name")
 
 
 @check("j10_attach_issues", """
-SELECT f.record_id, f.field_name, count(DISTINCT i.rule_id) AS issues FROM v_fields f LEFT JOIN v_issues i USING (record_id, field_name) GROUP BY 1, 2""", "v_fields v_issues")
+SELECT f.record_id, f.field_name, f.value, count(i.rule_id) AS issues, coalesce(string_agg(i.rule_id || ':' || i.message, ',' ORDER BY i.rule_id || ':' || i.message), '') AS findings
+FROM v_fields f LEFT JOIN v_issues i USING (record_id, field_name) GROUP BY 1, 2, 3""", "v_fields v_issues")
 def _(spark, d):
-    return joins.attach_issues(v.fields(spark, d), v.issues(spark, d)).select("record_id", "field_name", F.size("issues").cast("bigint").alias("issues"))
+    found = F.transform("issues", lambda i: F.concat(i["rule_id"], F.lit(":"), i["message"]))
+    return joins.attach_issues(v.fields(spark, d), v.issues(spark, d), part_rows=10_000).select(
+        "record_id", "field_name", "value", F.size("issues").cast("bigint").alias("issues"), F.array_join(F.array_sort(found), ",").alias("findings"))
 
 
 @check("j10_record_level", "SELECT record_id, rule_id, message FROM v_issues WHERE field_name IS NULL", "v_issues")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.text import strip
-from ..schemas import FIELD_NAMES, OPEN_TASK_STATUSES
+from ..schemas import FIELD_NAMES
 from . import skew
 
 
@@ -36,8 +36,8 @@ def to_long(df: DataFrame, key: str = "record_id", names: tuple[str, ...] = FIEL
 
 
 def to_wide(df: DataFrame, key: str = "record_id", names: tuple[str, ...] = FIELD_NAMES) -> DataFrame:
-    """One row per record with a column per known field name."""
-    return df.groupBy(key).pivot("field_name", list(names)).agg(F.first("value", ignorenulls=True))
+    """One row per record with a column per known field name; of several values of a field the largest."""
+    return df.groupBy(key).pivot("field_name", list(names)).agg(F.max("value"))
 
 
 def align_fields(truth: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -50,63 +50,52 @@ def align_fields(truth: DataFrame, outputs: DataFrame) -> DataFrame:
     )
 
 
-def _known_fields(fields: DataFrame) -> DataFrame:
-    """One struct per (record, field), at most as many per record as there are known field names."""
-    columns = [c for c in fields.columns if c != "record_id"]
-    one = (
-        fields.filter(F.col("field_name").isin(*FIELD_NAMES))
-        .groupBy("record_id", "field_name")
-        .agg(F.max(F.struct(*columns)).alias("_f"))
-    )
-    return one.groupBy("record_id").agg(F.array_sort(F.collect_list("_f")).alias("extracted_fields"))
+ISSUE_COLUMNS = ("rule_id", "field_name", "status", "severity", "message")
+
 
+def _children(df: DataFrame, key: list[str], columns: list[str], part_rows: int, name: str) -> DataFrame:
+    """All rows of ``df`` as sorted arrays of structs, one array per key and part."""
+    numbered = skew.in_parts(df.select(*key, F.struct(*columns).alias("_row")), key, part_rows, "_part")
+    return numbered.groupBy(*key, "_part").agg(F.array_sort(F.collect_list("_row")).alias(name))
 
-def _distinct_issues(issues: DataFrame) -> DataFrame:
-    """Findings of a record. A rule reports a field once, so the set per record is bounded by the rule list."""
-    columns = [c for c in ("rule_id", "field_name", "status", "severity", "message") if c in issues.columns]
-    one = issues.groupBy("record_id", "rule_id", "field_name").agg(F.max(F.struct(*columns)).alias("_i"))
-    return one.groupBy("record_id").agg(F.array_sort(F.collect_list("_i")).alias("validation"))
 
+def record_detail(records: DataFrame, fields: DataFrame, issues: DataFrame, documents: DataFrame, part_rows: int) -> DataFrame:
+    """Record with all its fields, all its findings, and its document.
 
-def record_detail(records: DataFrame, fields: DataFrame, issues: DataFrame, documents: DataFrame) -> DataFrame:
-    """Record with its fields, findings and document; children are grouped before the join."""
+    Children are grouped before the join. A record with up to ``part_rows`` fields and findings is one row with part 0; with more of
+    either it has several rows, which share record and document and hold the children in parts.
+    """
     docs = documents.select(F.col("id").alias("document_id"), F.struct(*documents.columns).alias("document"))
+    field_columns = [c for c in fields.columns if c != "record_id"]
+    issue_columns = [c for c in ISSUE_COLUMNS if c in issues.columns]
+    children = _children(fields, ["record_id"], field_columns, part_rows, "extracted_fields").join(
+        _children(issues, ["record_id"], issue_columns, part_rows, "validation"), ["record_id", "_part"], "full")
     return (
-        records.join(_known_fields(fields), "record_id", "left")
-        .join(_distinct_issues(issues), "record_id", "left")
+        records.join(children.withColumnRenamed("_part", "part"), "record_id", "left")
         .join(docs, "document_id", "left")
         .withColumns({
-            "extracted_fields": F.coalesce("extracted_fields", F.array().cast(_array_of(fields))),
-            "validation": F.coalesce("validation", F.array().cast(_issue_array(issues))),
+            "part": F.coalesce("part", F.lit(0)),
+            "extracted_fields": F.coalesce("extracted_fields", F.array().cast(_struct_array(fields, field_columns))),
+            "validation": F.coalesce("validation", F.array().cast(_struct_array(issues, issue_columns))),
         })
     )
 
 
-def _array_of(fields: DataFrame) -> str:
-    return _struct_array(fields, [c for c in fields.columns if c != "record_id"])
-
-
-def _issue_array(issues: DataFrame) -> str:
-    return _struct_array(
-        issues, [c for c in ("rule_id", "field_name", "status", "severity", "message") if c in issues.columns]
-    )
-
-
 def _struct_array(df: DataFrame, names: list[str]) -> str:
     return "array<struct<" + ",".join(f"{n}:{df.schema[n].dataType.simpleString()}" for n in names) + ">>"
 
 
-def attach_issues(fields: DataFrame, issues: DataFrame, key: str = "record_id") -> DataFrame:
-    """Add ``issues`` of the same record and field to field rows; record-level findings stay out."""
-    own = issues.filter(F.col("field_name").isNotNull())
-    grouped = (
-        own.groupBy(key, "field_name", "rule_id")
-        .agg(F.max(F.struct("rule_id", "field_name", "status", "severity", "message")).alias("_i"))
-        .groupBy(key, "field_name")
-        .agg(F.array_sort(F.collect_list("_i")).alias("issues"))
-    )
-    empty = F.array().cast("array<struct<rule_id:string,field_name:string,status:string,severity:string,message:string>>")
-    return fields.join(grouped, [key, "field_name"], "left").withColumn("issues", F.coalesce("issues", empty))
+def attach_issues(fields: DataFrame, issues: DataFrame, part_rows: int, key: str = "record_id") -> DataFrame:
+    """Add all ``issues`` of the same record and field to field rows; record-level findings stay out.
+
+    A field row whose findings exceed ``part_rows`` comes once per part of them.
+    """
+    own = issues.filter(F.col("field_name").isNotNull()).withColumn("_field", F.col("field_name"))
+    grouped = _children(own, [key, "_field"], list(ISSUE_COLUMNS), part_rows, "issues")
+    grouped = grouped.withColumnsRenamed({"_field": "field_name", "_part": "part"})
+    empty = F.array().cast(_struct_array(issues, list(ISSUE_COLUMNS)))
+    return fields.join(grouped, [key, "field_name"], "left").withColumns(
+        {"issues": F.coalesce("issues", empty), "part": F.coalesce("part", F.lit(0))})
 
 
 def record_level_issues(issues: DataFrame) -> DataFrame:
@@ -221,6 +210,3 @@ def overlay_corrections(records: DataFrame, corrections: DataFrame) -> DataFrame
         for c in records.columns
     ])
 
-
-def open_statuses() -> tuple[str, ...]:
-    return OPEN_TASK_STATUSES

@@ -12,7 +12,6 @@ from ..operators.joins import record_detail
 from ..operators.skew import running_position
 
 EXPORT_FORMAT = "v1"
-EXPORT_PART_ROWS = 10_000
 
 
 def replace_by_key(target: DataFrame, new_rows: DataFrame, key: str) -> DataFrame:
@@ -21,11 +20,6 @@ def replace_by_key(target: DataFrame, new_rows: DataFrame, key: str) -> DataFram
     return target.join(keys, key, "left_anti").unionByName(new_rows)
 
 
-def replace_for_parents(target: DataFrame, new_rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
-    """The same for an explicit set of parents, so that a parent without new rows loses its old ones."""
-    return target.join(parents.select(key).distinct(), key, "left_anti").unionByName(new_rows)
-
-
 def upsert(target: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Insert or update one row per ``key``; only ``columns`` change on rows that exist."""
     changes = updates.select(
@@ -52,17 +46,17 @@ def append_log(rows: DataFrame, path: str, partition_by: list[str] | None = None
 
 
 def export_records(records: DataFrame, fields: DataFrame, issues: DataFrame, documents: DataFrame,
-                   now: datetime) -> DataFrame:
-    """One nested export row per record."""
-    detail = record_detail(records, fields, issues, documents)
+                   now: datetime, part_rows: int) -> DataFrame:
+    """One nested export row per record, with all its fields and findings; more than ``part_rows`` of them continue in further rows."""
+    detail = record_detail(records, fields, issues, documents, part_rows)
     return detail.select(
         F.struct(*[F.col(c) for c in records.columns]).alias("record"),
-        "extracted_fields", "validation", "document",
+        "part", "extracted_fields", "validation", "document",
         F.lit(now).alias("exported_at"), F.lit(EXPORT_FORMAT).alias("format_version"),
     )
 
 
-def export_audit(audit: DataFrame, now: datetime, part_rows: int = EXPORT_PART_ROWS, slice_unit: str = "DAY") -> DataFrame:
+def export_audit(audit: DataFrame, now: datetime, part_rows: int, slice_unit: str = "DAY") -> DataFrame:
     """Audit events per record in order, as (record_id, part, exported_at, events).
 
     A record with up to ``part_rows`` events has one part. Longer histories continue in further parts, so no row and

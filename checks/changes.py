@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import datetime, timezone
 
@@ -23,8 +22,8 @@ NOW = datetime(2001, 1, 1, tzinfo=timezone.utc)
 
 
 def scratch(spark, name: str) -> str:
-    """A fresh folder all executors can reach; a local one only where the session names none."""
-    return f"{shared_folder(spark) or tempfile.mkdtemp(prefix='recordlake-')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder that all executors can reach."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _requests(spark, d, key: str):
@@ -221,15 +220,19 @@ _MATCHES = f"""(SELECT record_id, CASE WHEN coalesce(village, '') <> '' THEN cou
 FROM (SELECT record_id, survey_number, village FROM {_USABLE} UNION ALL SELECT record_id, survey_number, village FROM n_records WHERE k % 4 = 1))"""
 
 
-def _arrivals(spark, d):
-    """(pages, responses, stored records): a quarter of the records is on file, the rest arrives."""
-    answers = raw_responses(spark, d).filter(F.col("document_id").cast("long") % 4 != 1)
+def _pages(answers):
     k = F.col("document_id").cast("long")
     text = F.when(k % 59 == 0, F.lit("  ")).otherwise(F.concat(F.lit("page of "), F.col("document_id")))
     line = F.struct(text.alias("text"), F.lit(0.9).alias("confidence"), F.lit(None).cast("array<double>").alias("box"))
     page = F.struct(F.lit(1).alias("page_number"), text.alias("text"), F.lit(0.9).alias("confidence"), F.array(line).alias("lines"), F.lit(10).alias("width"), F.lit(20).alias("height"))
+    return answers.select("document_id", F.array(page).alias("pages"))
+
+
+def _arrivals(spark, d):
+    """(pages, responses, stored records): a quarter of the records is on file, the rest arrives."""
+    answers = raw_responses(spark, d).filter(F.col("document_id").cast("long") % 4 != 1)
     stored = v.normalized(spark, d).filter(F.col("record_id").cast("long") % 4 == 1)
-    return answers.select("document_id", F.array(page).alias("pages")), answers, stored
+    return _pages(answers), answers, stored
 
 
 @check("p1_prepare_batch", f"""
@@ -341,43 +344,81 @@ def _(spark, d):
 
 # Streams ------------------------------------------------------------------------------------------------------------
 
-def _stream(spark, d):
-    schema = v.table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+_FILES = 4
 
 
-def _finish(spark, df, name: str):
-    """Run a stream over everything that is there and return what it wrote."""
-    out, place = scratch(spark, name), scratch(spark, f"{name}-state")
-    streams.run_to_end(df, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/n={n}"), place)
-    return spark.read.schema(df.schema).parquet(out)
+def _in_files(spark, df, order: str, name: str) -> str:
+    """The rows written in order of a column to a few folders, one after the other, as they would arrive."""
+    source = scratch(spark, name)
+    cuts = df.select(F.percentile_approx(F.unix_micros(order) if order == "ts" else F.col(order), [i / _FILES for i in range(1, _FILES)])).first()[0]
+    place = F.unix_micros(order) if order == "ts" else F.col(order)
+    part = sum((F.when(place > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    for i in range(_FILES):
+        df.filter(part == i).coalesce(1).write.parquet(f"{source}/f{i}")
+    return source
+
+
+def _event_stream(spark, d, name: str):
+    events = v.table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    source = _in_files(spark, events, "ts", name)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
 
 
 @check("st2_failed_attempts", """
-SELECT user_id, w AS window_us, failures FROM (SELECT user_id, w, count(*) AS failures FROM (SELECT user_id, unnest(generate_series(epoch_us(ts) // 21600000000 - 3, epoch_us(ts) // 21600000000)) * 21600000000 AS w
-FROM events WHERE event_type IN ('error', 'click')) GROUP BY 1, 2) WHERE failures >= 2 AND w + 86400000000 <= (SELECT max(epoch_us(ts)) - 600000000 FROM events)""")
+SELECT event_id, coalesce(CAST(sum(fail) OVER (PARTITION BY user_id, run ORDER BY t RANGE BETWEEN 43199999999 PRECEDING AND CURRENT ROW) AS BIGINT), 0) AS recent_failures,
+  coalesce(sum(fail) OVER (PARTITION BY user_id, run ORDER BY t RANGE BETWEEN 43199999999 PRECEDING AND CURRENT ROW), 0) >= 2 AS blocked, false AS late
+FROM (SELECT *, sum(reset) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS run FROM
+(SELECT event_id, user_id, epoch_us(ts) AS t, CASE WHEN event_type IN ('error', 'click') THEN 1 ELSE 0 END AS fail, CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END AS reset FROM events))""")
 def _(spark, d):
-    out = streams.failed_attempt_stream(_stream(spark, d), "user_id", F.col("event_type").isin("error", "click"), window_s=86400, slide_s=21600, limit=2)
-    return _finish(spark, out, "attempts").select("user_id", F.unix_micros("window_start").alias("window_us"), "failures")
+    out, kind = scratch(spark, "attempts"), F.col("event_type")
+    streams.start_failed_attempts(_event_stream(spark, d, "events"), "user_id", kind.isin("error", "click"), kind == "signup", out,
+                                  scratch(spark, "attempts-state"), window_s=43200, limit=2).awaitTermination()
+    return spark.read.parquet(out).select("event_id", "recent_failures", "blocked", "late")
 
 
-@check("st3_drop_repeats", "SELECT count(DISTINCT user_id) AS keys FROM events")
+@check("st3_drop_repeats", """
+WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t FROM events),
+k AS (SELECT user_id, min(t) AS t FROM e GROUP BY 1 UNION ALL
+  SELECT user_id, t FROM (SELECT k.user_id, (SELECT min(e.t) FROM e WHERE e.user_id = k.user_id AND e.t >= k.t + 21600000000) AS t FROM k) WHERE t IS NOT NULL)
+SELECT user_id, t FROM k""")
 def _(spark, d):
-    # One trigger sees all events, so nothing expires in between and each key is kept once.
-    out = streams.drop_repeats(_stream(spark, d).select("user_id", "ts"), "user_id", "ts", 3600)
-    return _finish(spark, out, "repeats").agg(F.count("*").alias("keys"))
+    out, place = scratch(spark, "repeats"), scratch(spark, "repeats-state")
+    kept = streams.drop_repeats(_event_stream(spark, d, "requests").select("user_id", "ts"), "user_id", "ts", 21600)
+    streams.run_to_end(kept, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/n={n}"), place)
+    return spark.read.schema(kept.schema).parquet(out).select("user_id", F.unix_micros("ts").alias("t"))
+
+
+# Three arrivals: everything, then every sixth document again by two jobs, then every tenth again.
+_ROUNDS = """(SELECT record_id, k, survey_number, village, 0 AS n FROM n_records UNION ALL SELECT record_id, k, survey_number, village, 1 FROM n_records WHERE k % 6 = 0
+UNION ALL SELECT record_id, k, survey_number, village, 2 FROM n_records WHERE k % 10 = 0)"""
+_RIGHT = "(k % 53 <> 0 AND k % 59 <> 0)"
 
 
 @check("st1_incremental", f"""
-SELECT verdict, count(*) AS n FROM (SELECT CASE document_status WHEN 'VALIDATION_FAILED' THEN 'BLOCKED' ELSE document_status END AS verdict FROM {_JUDGED}) GROUP BY 1
-UNION ALL SELECT 'none', count(*) FROM n_records WHERE k % 4 <> 1 AND (k % 53 = 0 OR k % 59 = 0)""", "n_records r_issues")
+SELECT r.n AS batch, r.record_id || ':' || CASE WHEN r.n = 1 THEN 'b' ELSE 'a' END AS job, CASE WHEN k % 59 = 0 THEN 'OCR_FAILED' WHEN k % 53 = 0 THEN 'PROVIDER_BAD_RESPONSE' END AS error_code,
+  CASE WHEN {_RIGHT} THEN m.m END AS match_count,
+  CASE WHEN NOT {_RIGHT} THEN NULL WHEN i.bad > 0 THEN 'BLOCKED' WHEN i.n > 0 OR m.m > 0 THEN 'REVIEW_REQUIRED' ELSE 'READY_FOR_APPROVAL' END AS verdict
+FROM {_ROUNDS} r
+LEFT JOIN (SELECT record_id, CASE WHEN coalesce(village, '') <> '' THEN count(*) OVER (PARTITION BY lower(survey_number), lower(village)) - 1 ELSE 0 END AS m FROM n_records WHERE {_RIGHT}) m USING (record_id)
+LEFT JOIN (SELECT record_id, count(*) AS n, count(*) FILTER (severity = 'ERROR') AS bad FROM r_issues GROUP BY 1) i USING (record_id)
+UNION ALL SELECT 1, record_id || ':a', 'JOB_SUPERSEDED', NULL, NULL FROM n_records WHERE k % 6 = 0""", "n_records r_issues")
 def _(spark, d):
-    pages, answers, _ = _arrivals(spark, d)
+    answers = raw_responses(spark, d)
+    rows = answers.join(_pages(answers), "document_id")
+    k = F.col("document_id").cast("long")
     source, target, place = scratch(spark, "arrivals"), scratch(spark, "prepared"), scratch(spark, "arrivals-state")
-    answers.join(pages, "document_id").write.json(source)
-    streams.start_incremental(spark, source, target, v.reference(spark, d), place).awaitTermination()
+
+    def named(df, n: int, job: str):
+        return df.withColumn("job_id", F.concat("document_id", F.lit(f":{n}:{job}")))
+
+    again = rows.filter(k % 6 == 0)
+    for part in (named(rows, 0, "a"), named(again, 1, "a").unionByName(named(again, 1, "b")), named(rows.filter(k % 10 == 0), 2, "a")):
+        # One file is one micro-batch here.
+        part.coalesce(1).write.mode("append").json(source)
+        streams.start_incremental(spark, source, target, v.reference(spark, d), place).awaitTermination()
     done = spark.read.parquet(target)
-    return done.groupBy(F.coalesce("verdict", F.lit("none")).alias("verdict")).agg(F.count("*").alias("n"))
+    return done.select(F.col("batch").cast("int").alias("batch"), F.concat("document_id", F.lit(":"), F.substring_index("job_id", ":", -1)).alias("job"),
+                       "error_code", "match_count", "verdict")
 
 
 @check("hook_extract_with", r"SELECT doc_id, length(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS letters FROM documents")

@@ -34,11 +34,28 @@ NUMBER_TOLERANCE = 1e-9
 # ----------------------------------------------------------------------------
 
 
+def shared_start(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
+    """How many items both sequences start with."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def sequence_distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
     """Levenshtein distance of two sequences, with one distance column per step held as bits (Myers 1999, Hyyrö 2003).
 
-    ``up`` and ``down`` mark the rows of the column where the distance rises or falls by one from the row above.
+    ``up`` and ``down`` mark the rows of the column where the distance rises or falls by one from the row above. What both
+    sequences start or end with is left out first.
     """
+    start = shared_start(a, b)
+    a, b = a[start:], b[start:]
+    end = shared_start(a[::-1], b[::-1])
+    a, b = a[:len(a) - end], b[:len(b) - end]
     rows = len(a)
     if rows == 0:
         return len(b)
@@ -84,9 +101,9 @@ def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def edit_distance(a: Column, b: Column) -> Column:
     """Exact character edit distance."""
-    long = F.greatest(F.length(a), F.length(b)) > SHORT_TEXT
-    # A Python function runs for every row it is planned for; short pairs reach it as NULL.
-    return F.when(long, _long_distance(F.when(long, a), F.when(long, b))).otherwise(F.levenshtein(a, b))
+    long = (F.greatest(F.length(a), F.length(b)) > SHORT_TEXT) & (a != b)
+    # A Python function runs for every row it is planned for; short and equal pairs reach it as NULL.
+    return F.when(a == b, F.lit(0)).when(long, _long_distance(F.when(long, a), F.when(long, b))).otherwise(F.levenshtein(a, b))
 
 
 def char_error_rate(ref: Column, hyp: Column) -> Column:
@@ -99,7 +116,9 @@ def char_error_rate(ref: Column, hyp: Column) -> Column:
 
 def word_error_rate(ref: Column, hyp: Column) -> Column:
     """Error rate of normalised texts by words; the empty text is one empty word."""
-    return word_distance(ref, hyp) / F.size(F.split(ref, " ", -1))
+    differ = ref != hyp
+    distance = F.when(ref == hyp, F.lit(0)).otherwise(word_distance(F.when(differ, ref), F.when(differ, hyp)))
+    return distance / F.size(F.split(ref, " ", -1))
 
 
 def error_rate(reference: Column, hypothesis: Column, unit: str) -> Column:
@@ -129,8 +148,8 @@ def numbers_equal(a: Column, b: Column) -> Column:
 
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff/Obershelp ratio; Spark has no such built-in."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+    """Ratcliff/Obershelp ratio, NULL for a NULL; Spark has no such built-in."""
+    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
 def _cheap_verdict(expected: Column, got: Column, field: Column) -> Column:
@@ -158,14 +177,10 @@ def classify_fields(df: DataFrame, expected: str = "expected", got: str = "got",
                     field: str = "field_name") -> DataFrame:
     """Add ``verdict`` to rows of (field, expected, got).
 
-    Python only sees rows the built-in comparisons leave open: the decided rows take the other branch of a union,
-    so they are never shipped to a Python worker.
+    The similarity ratio is only computed for rows that the built-in comparisons leave open; the others reach it as NULL.
     """
-    staged = df.withColumn("verdict", _cheap_verdict(F.col(expected), F.col(got), F.col(field)))
-    open_rows = staged.filter(F.col("verdict").isNull())
-    ratio = similarity(compare_key(F.col(expected)), compare_key(F.col(got)))
-    judged = open_rows.withColumn("_ratio", ratio).select(
-        *df.columns,
-        F.when(F.col("_ratio") >= SIMILAR_ENOUGH, F.lit("PARTIALLY_CORRECT")).otherwise(F.lit("INCORRECT")).alias("verdict"),
-    )
-    return staged.filter(F.col("verdict").isNotNull()).unionByName(judged)
+    staged = df.withColumn("_settled", _cheap_verdict(F.col(expected), F.col(got), F.col(field)))
+    is_open = F.col("_settled").isNull()
+    ratio = similarity(F.when(is_open, compare_key(F.col(expected))), F.when(is_open, compare_key(F.col(got))))
+    close = F.when(F.col("_ratio") >= SIMILAR_ENOUGH, F.lit("PARTIALLY_CORRECT")).otherwise(F.lit("INCORRECT"))
+    return staged.withColumn("_ratio", ratio).select(*df.columns, F.coalesce("_settled", close).alias("verdict"))

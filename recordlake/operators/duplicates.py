@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import compare_key, quoted, strip
 from . import skew
+from .windows import newest
 
 
 def duplicate_key(survey: Column, village: Column) -> Column:
@@ -42,20 +43,29 @@ def find_duplicates(df: DataFrame, row_id: str = "record_id", hot_rows: int = sk
 
 
 def find_duplicates_incremental(batch: DataFrame, existing: DataFrame, within_batch: bool = False,
-                                hot_rows: int = skew.HOT_ROWS) -> DataFrame:
-    """Compare a batch with stored records of other documents.
+                                hot_rows: int = skew.HOT_ROWS, version: Column | None = None) -> DataFrame:
+    """Compare a batch, one row per document, with the stored records of other documents.
 
-    Stored rows of a document that is in the batch are its own earlier version and do not count. With
-    ``within_batch`` the other documents of the batch count as well.
+    Every stored document counts once per key. If ``existing`` keeps earlier versions of a document, ``version`` orders them and only
+    the newest one counts, whatever key the others had. Stored rows of a document that is in the batch are its own earlier version and
+    do not count. With ``within_batch`` the other documents of the batch count as well.
+
+    Only stored rows that a batch key leads to are counted: those with such a key and, where versions are kept, the other versions
+    of their documents.
     """
     keyed = batch.withColumn("duplicate_key", duplicate_key(F.col("survey_number"), F.col("village")))
-    stored = existing.select(
-        "document_id", duplicate_key(F.col("survey_number"), F.col("village")).alias("duplicate_key")
-    ).filter(F.col("duplicate_key").isNotNull())
+    stored = existing.select("document_id", duplicate_key(F.col("survey_number"), F.col("village")).alias("duplicate_key"),
+                             (F.lit(0) if version is None else version).alias("_version"))
+    asked = keyed.select("duplicate_key").filter("duplicate_key is not null").distinct()
+    reached = stored.join(asked, "duplicate_key", "left_semi")
+    if version is not None:
+        versions = stored.join(reached.select("document_id").distinct(), "document_id", "left_semi")
+        reached = newest(versions, "document_id", [F.desc("_version"), F.desc_nulls_last("duplicate_key")])
+    stored = reached.filter(F.col("duplicate_key").isNotNull()).select("document_id", "duplicate_key").distinct()
     if within_batch:
         # Every batch document replaces its stored row, so only the new row of it counts.
         stored = stored.join(batch.select("document_id").distinct(), "document_id", "left_anti")
-        stored = stored.unionByName(keyed.select("document_id", "duplicate_key").filter("duplicate_key is not null"))
+        stored = stored.unionByName(keyed.select("document_id", "duplicate_key").filter("duplicate_key is not null").distinct())
     counts = stored.groupBy("duplicate_key").agg(F.count("*").alias("_all"))
     if not within_batch:
         # What must not meet in one task are the batch rows of a key, so those decide which keys are hot.

@@ -48,7 +48,8 @@ def failed_attempt_rate(events: DataFrame, key: str, is_failure: Column, is_rese
     """Add ``recent_failures`` and ``blocked``: failures of a key less than ``window_s`` seconds old since its last reset.
 
     A key is cut into time slices; the last ``window_s`` seconds of a slice are copied into the next one as context.
-    The counts are exact because nothing older than the window matters.
+    The counts are exact because nothing older than the window matters. A count is what has failed so far in the run less what had
+    failed a window ago; both sums only grow, so a key with many failures in one window costs no more per row than any other.
     """
     width = window_s * 1_000_000
     slice_width = width * 12
@@ -61,9 +62,11 @@ def failed_attempt_rate(events: DataFrame, key: str, is_failure: Column, is_rese
     homes = F.when(tail, F.array(F.col("_home"), F.col("_home") + 1)).otherwise(F.array(F.col("_home")))
     copied = staged.withColumn("_slice", F.explode(homes))
     in_order = Window.partitionBy(key, "_slice").orderBy("_t", row_id).rowsBetween(Window.unboundedPreceding, 0)
-    trailing = Window.partitionBy(key, "_slice", "_run").orderBy("_t").rangeBetween(-width + 1, 0)
+    by_time = Window.partitionBy(key, "_slice", "_run").orderBy("_t")
+    so_far = F.sum("_fail").over(by_time.rangeBetween(Window.unboundedPreceding, 0))
+    expired = F.sum("_fail").over(by_time.rangeBetween(Window.unboundedPreceding, -width))
     counted = copied.withColumn("_run", F.sum("_reset").over(in_order)).withColumn(
-        "recent_failures", F.sum("_fail").over(trailing).cast("long")
+        "recent_failures", (so_far - F.coalesce(expired, F.lit(0))).cast("long")
     )
     return (
         counted.filter("_slice = _home")

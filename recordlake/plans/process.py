@@ -8,6 +8,7 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..functions import confidence as conf
 from ..functions.normalize import coerce_typed_columns, normalize_record
@@ -37,27 +38,34 @@ def stored_once(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
 
 
 def prepare_batch(ocr: DataFrame, responses: DataFrame, reference: Reference | None, existing: DataFrame,
-                  stage_path: str, within_batch: bool = True) -> DataFrame:
-    """One row per document: parsed, normalised, checked, compared with other records, typed, with its outcome.
+                  stage_path: str, within_batch: bool = True, version: Column | None = None) -> DataFrame:
+    """One row per job: parsed, normalised, checked, compared with other records, typed, with its outcome.
 
-    ``ocr`` has (document_id, pages), ``responses`` (job_id, document_id, user_id, raw_text, provider, model,
-    prompt_version, schema_version), ``existing`` the stored records. A response that cannot be read, or a document
-    without text, comes out with ``error_code`` and no record.
+    ``ocr`` has (document_id, pages) and, if every job has pages of its own, job_id; ``responses`` has (job_id, document_id, user_id,
+    raw_text, provider, model, prompt_version, schema_version), ``existing`` the stored records, whose versions ``version`` orders if
+    it holds several of a document. A response that cannot be read, or a document without text, comes out with ``error_code`` and no
+    record. Of several jobs of a document in one batch the one with the largest job_id counts; the others come out as JOB_SUPERSEDED.
+    Repeated rows of a job are one job; of several page lists for a document the largest counts.
 
     The comparison reads the checked rows several times, so they are stored under ``stage_path`` first: responses are
     parsed and checked once, and the plan of the comparison starts from a plain table.
     """
-    parsed = parse_model_responses(responses)
-    joined = parsed.join(ocr.select("document_id", "pages"), "document_id", "left")
+    of = ["job_id", "document_id"] if "job_id" in ocr.columns else ["document_id"]
+    pages = ocr.groupBy(*of).agg(F.max("pages").alias("pages"))
+    last = Window.partitionBy("document_id").orderBy(F.desc("job_id"))
+    jobs = responses.dropDuplicates(["job_id"]).withColumn("_superseded", F.row_number().over(last) > 1)
+    parsed = parse_model_responses(jobs)
+    joined = parsed.join(pages, of, "left")
     has_text = F.regexp_like(pages_text(F.col("pages")), F.lit(r"(?U)\S"))
     staged = joined.withColumn(
         "error_code",
-        F.when(~F.coalesce(has_text, F.lit(False)), F.lit("OCR_FAILED")).otherwise(F.col("error_code")),
-    )
+        F.when(F.col("_superseded"), F.lit("JOB_SUPERSEDED")).when(~F.coalesce(has_text, F.lit(False)), F.lit("OCR_FAILED"))
+        .otherwise(F.col("error_code")),
+    ).drop("_superseded")
     checked_rows = rules.validate(normalize_record(values_to_columns(staged)), reference)
     rows = stored_once(ocr.sparkSession, checked_rows, f"{stage_path}/checked")
     checked, failed = rows.filter("error_code is null"), rows.filter("error_code is not null")
-    compared = duplicates.find_duplicates_incremental(checked, existing, within_batch)
+    compared = duplicates.find_duplicates_incremental(checked, existing, within_batch, version=version)
     judged = duplicates.add_duplicate_issue(compared).withColumn("verdict", rules.record_verdict(F.col("issues")))
     typed = coerce_typed_columns(judged.withColumn("outcome", rules.map_verdict(F.col("verdict"), F.size("issues"))))
     info = F.create_map(*[x for name in ("job_id", "verdict", "provider", "model", "prompt_version", "schema_version")

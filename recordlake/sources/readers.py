@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,6 +108,6 @@ def decode_payload(c, schema: str):
     return F.from_json(c, schema)
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder all executors can reach, as named by the cluster."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("RECORDLAKE_SHARED_DIR")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors can reach: ``spark.checkpoint.dir`` or, where the session names none, one beside its warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"

@@ -7,11 +7,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from checks.compare import session
 
     spark = session()
-    # Tests run without a cluster, so nothing names a shared folder.
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
-        os.environ.setdefault("RECORDLAKE_SHARED_DIR", str(tmp_path_factory.mktemp("shared")))
     yield spark

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import changes, language, records, tables  # noqa: F401
+from . import changes, files, language, records, tables  # noqa: F401

@@ -352,11 +352,10 @@ _VERDICTS = f"""(SELECT id, field_name, CASE WHEN expected IS NULL AND got IS NU
   WHEN contains(got, '§') AND (length(expected) - 1) / length(expected) >= 0.8 THEN 'PARTIALLY_CORRECT' ELSE 'INCORRECT' END AS verdict FROM {_GOT})"""
 
 
-@check("n29_numbers_equal", "SELECT id, coalesce(abs(TRY_CAST(expected AS DOUBLE) - TRY_CAST(got AS DOUBLE)) < 1e-9, false) AS same FROM "
-       f"(SELECT id, expected, coalesce(got, 'x') AS got FROM {_GOT} WHERE field_name = 'area')", "n_records")
+@check("n29_numbers_equal", "SELECT id, field_name, coalesce(abs(TRY_CAST(expected AS DOUBLE) - TRY_CAST(got AS DOUBLE)) < 1e-9, false) AS same FROM "
+       f"(SELECT id, field_name, expected, coalesce(got, 'x') AS got FROM {_GOT})", "n_records")
 def _(spark, d):
-    rows = _truth_pairs(spark, d).filter("field_name = 'area'")
-    return rows.select("id", distance.numbers_equal(F.col("expected"), F.coalesce("got", F.lit("x"))).alias("same"))
+    return _truth_pairs(spark, d).select("id", "field_name", distance.numbers_equal(F.col("expected"), F.coalesce("got", F.lit("x"))).alias("same"))
 
 
 @check("n31_classify_fields", f"SELECT id, field_name, verdict FROM {_VERDICTS}", "n_records")

@@ -509,19 +509,19 @@ def _(spark, d):
 
 @check("n35_reasons", f"""
 SELECT document_id AS id, name AS field_name, score IS NULL OR score < 0.6 OR acting AS review_required, concat_ws(' / ',
-  CASE WHEN ocr IS NOT NULL THEN 'OCR line confidence ' || format('{{:.2f}}', ocr) ELSE 'no matching OCR line found; OCR signal unavailable' END,
-  CASE WHEN ext IS NOT NULL THEN 'extraction confidence ' || format('{{:.2f}}', ext) ELSE 'extraction confidence not reported' END,
-  CASE WHEN blocking THEN 'validation R1 FAIL: why' WHEN acting THEN 'validation R2 REVIEW_REQUIRED: why' END,
-  CASE WHEN blocking THEN 'blocking validation issue caps score at 0.39' WHEN acting THEN 'review-level validation issue caps score at 0.69' END,
-  CASE WHEN acting AND score >= 0.6 THEN 'flagged for human review by validation outcome' END) AS reasons FROM ({_SCORED_SQL})""", "v_lines")
+  CASE WHEN ocr IS NOT NULL THEN 'line on the page: ' || format('{{:.2f}}', ocr) ELSE 'no line on the page holds the value' END,
+  CASE WHEN ext IS NOT NULL THEN 'extraction: ' || format('{{:.2f}}', ext) ELSE 'extraction: not stated' END,
+  CASE WHEN blocking THEN 'rule R1 FAIL: why' WHEN acting THEN 'rule R2 REVIEW_REQUIRED: why' END,
+  CASE WHEN blocking THEN 'a blocking finding limits the score to 0.39' WHEN acting THEN 'a finding limits the score to 0.69' END,
+  CASE WHEN acting AND score >= 0.6 THEN 'a finding asks for a look at the value' END) AS reasons FROM ({_SCORED_SQL})""", "v_lines")
 def _(spark, d):
     return process.scored_fields(_scored(spark, d)).select("id", "field_name", "review_required", F.array_join("reasons", " / ").alias("reasons"))
 
 
 @check("p3_score_outputs", f"""
 SELECT id, overall_score, CASE WHEN overall_score IS NULL THEN 'REVIEW_REQUIRED' WHEN overall_score >= 0.8 THEN 'HIGH' WHEN overall_score >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS overall_band,
-  review OR CAST(id AS BIGINT) % 8 = 2 AS review_required, concat_ws(' / ', CASE WHEN CAST(id AS BIGINT) % 8 = 2 THEN '1 record-level validation issue(s) require review' END,
-  CASE WHEN overall_score IS NULL THEN 'no scorable fields; record needs review' END) AS reasons
+  review OR CAST(id AS BIGINT) % 8 = 2 AS review_required, concat_ws(' / ', CASE WHEN CAST(id AS BIGINT) % 8 = 2 THEN '1 finding(s) on the whole record' END,
+  CASE WHEN overall_score IS NULL THEN 'no field has a score' END) AS reasons
 FROM (SELECT document_id AS id, avg(score) AS overall_score, bool_or(score IS NULL OR score < 0.6 OR acting) AS review FROM ({_SCORED_SQL}) GROUP BY 1)""", "v_lines")
 def _(spark, d):
     return _scored(spark, d).select("id", "overall_score", "overall_band", "review_required", F.array_join("reasons", " / ").alias("reasons"))

@@ -19,9 +19,9 @@ from . import views as v
 from .registry import check
 
 
-def judged(spark: SparkSession, d: str) -> DataFrame:
+def judged(spark: SparkSession, d: str, messages: bool = False) -> DataFrame:
     """Records with all issues and their verdict."""
-    found = dup.add_duplicate_issue(dup.find_duplicates(v.validated(spark, d)))
+    found = dup.add_duplicate_issue(dup.find_duplicates(v.validated(spark, d, messages)), messages)
     return found.withColumn("verdict", rules.record_verdict(F.col("issues")))
 
 
@@ -46,7 +46,7 @@ def _(spark, d):
 
 @check("n51_issue_messages", "SELECT record_id, rule_id, field_name, status, severity, message FROM r_all", "r_all")
 def _(spark, d):
-    return rules.explode_issues(judged(spark, d), "record_id")
+    return rules.explode_issues(judged(spark, d, messages=True), "record_id")
 
 
 _RULES = {
@@ -63,7 +63,7 @@ def _rule_check(name: str, rule_id: str) -> None:
     @check(name, f"""SELECT district, count(*) AS findings, count(DISTINCT r.message) AS messages
 FROM r_all r JOIN n_records USING (record_id) WHERE rule_id = '{rule_id}' GROUP BY district""", "r_all n_records")
     def _(spark, d):
-        rows = judged(spark, d) if rule_id.startswith("DUP") else v.validated(spark, d)
+        rows = judged(spark, d, messages=True) if rule_id.startswith("DUP") else v.validated(spark, d)
         found = rules.explode_issues(rows, "district").filter(F.col("rule_id") == rule_id)
         return found.groupBy("district").agg(
             F.count("*").alias("findings"), F.count_distinct("message").alias("messages"))

@@ -228,7 +228,7 @@ _DESCRIBED = """SELECT id, entity_id, at_us, CASE action WHEN 'PROCESSING_STARTE
   WHEN 'RECORD_APPROVED' THEN 'Record approved' WHEN 'RECORD_REJECTED' THEN 'Record rejected' WHEN 'REVIEW_CREATED' THEN 'Review opened' ELSE action END AS title,
   CASE WHEN user_id IS NULL THEN 'Pipeline' ELSE 'Officer' END AS source, CASE WHEN user_id IS NULL THEN 'System' ELSE left(user_id, 8) || '…' END AS actor,
   CASE WHEN action IN ('FIELD_CORRECTED', 'RECORD_REJECTED') AND n % 2 = 1 THEN 'Reason: note ' || number
-    WHEN action = 'RECORD_APPROVED' THEN 'The authorized reviewer accepted the current record.' ELSE '' END AS description,
+    WHEN action = 'RECORD_APPROVED' THEN 'Accepted as it stands.' ELSE '' END AS description,
   CASE WHEN n % 6 = 1 THEN 'area:' || number || '>' || CAST(n AS VARCHAR) || '|unit:—>ha' END AS changes FROM v_audit"""
 
 

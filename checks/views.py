@@ -97,8 +97,8 @@ def normalized(spark: SparkSession, d: str) -> DataFrame:
     return normalize_record(records(spark, d))
 
 
-def validated(spark: SparkSession, d: str) -> DataFrame:
-    return validate(normalized(spark, d), reference(spark, d))
+def validated(spark: SparkSession, d: str, messages: bool = True) -> DataFrame:
+    return validate(normalized(spark, d), reference(spark, d), messages=messages)
 
 
 def fields(spark: SparkSession, d: str) -> DataFrame:
@@ -280,28 +280,24 @@ def _norm(c: str) -> str:
     return _NORM.format(c)
 
 
-_MESSAGES = {
-    "owner_name": "Owner name", "survey_number": "Survey number", "area": "Area", "village": "Village",
-    "tehsil": "Tehsil", "district": "District",
-}
 _REQUIRED = "\nUNION ALL\n".join(
     f"""SELECT record_id, {i} AS pos, 'REQ_{n.upper()}_001' AS rule_id, '{n}' AS field_name, 'REVIEW_REQUIRED' AS status,
-    'WARNING' AS severity, '{label} is required but missing. Field: {n}. The document is expected to contain it. Reviewer: check the source document for the {label.lower()}.' AS message
+    'WARNING' AS severity, '{n}: empty, but every record needs it' AS message
     FROM n_records WHERE coalesce(trim({n}), '') = ''"""
-    for i, (n, label) in enumerate(_MESSAGES.items())
+    for i, n in enumerate(("owner_name", "survey_number", "area", "village", "tehsil", "district"))
 )
 _UNKNOWN = "\nUNION ALL\n".join(
     f"""SELECT record_id, {20 + i}, 'REF_{n.upper()}_001', '{n}', 'REVIEW_REQUIRED', 'WARNING',
-    '{n.capitalize()} ''' || {n} || ''' is not in reference reference_data version v1. Field: {n}. Reviewer: check the spelling against the source document{end}'
+    '{n}: ''' || {n} || ''' does not occur in reference_data v1'
     FROM n_records r WHERE coalesce({n}, '') <> '' AND NOT EXISTS (SELECT 1 FROM v_reference v
       WHERE v.reference_type = '{n}' AND v.status = 'active' AND lower(v.name) = lower(r.{n}))"""
-    for i, (n, end) in enumerate({"village": " and the current reference list.", "tehsil": ".", "district": "."}.items())
+    for i, n in enumerate(("village", "tehsil", "district"))
 )
 
 
 def _chain(pos: int, rule: str, child: str, parent: str) -> str:
     return f"""SELECT r.record_id, {pos}, '{rule}', '{parent}', 'REVIEW_REQUIRED', 'WARNING',
-    '{child.capitalize()} ''' || r.{child} || ''' belongs to {parent} ''' || lower(p.name) || ''' per reference data, but the record says ''' || r.{parent} || '''. Field: {parent}. Reviewer: determine which {parent} the source document actually states.'
+    '{parent}: ''' || r.{parent} || ''' here, but the reference puts {child} ''' || r.{child} || ''' in ''' || lower(p.name) || ''''
     FROM n_records r JOIN v_reference c ON c.reference_type = '{child}' AND c.status = 'active' AND lower(c.name) = lower(r.{child})
     JOIN v_reference p ON p.id = c.parent_id AND p.reference_type = '{parent}'
     WHERE coalesce(r.{parent}, '') <> '' AND lower(p.name) <> lower(r.{parent})"""
@@ -359,19 +355,19 @@ FROM v_records"""),
     "r_issues": ("n_records v_reference", rf"""
 {_REQUIRED}
 UNION ALL SELECT record_id, 6, 'REQ_AREA_UNIT_001', 'area_unit', 'REVIEW_REQUIRED', 'WARNING',
-  'Area is present but its unit is missing. Field: area_unit. An area without a unit cannot be interpreted. Reviewer: check the source document for the area unit.'
+  'area_unit: the area stands without a unit'
   FROM n_records WHERE coalesce(area, '') <> '' AND coalesce(area_unit, '') = ''
 UNION ALL SELECT record_id, 10, 'FMT_AREA_001', 'area', 'FAIL', 'ERROR',
-  'Area is not numeric (''' || area || '''). Field: area. Area must be a positive decimal number. Reviewer: check whether the extracted value mixed digits with text.'
+  'area: ''' || area || ''' cannot be read as a decimal number'
   FROM n_records WHERE coalesce(area, '') <> '' AND NOT regexp_full_match(area, '-?\d[\d,]*(\.\d+)?')
 UNION ALL SELECT record_id, 11, 'FMT_AREA_002', 'area', 'FAIL', 'ERROR',
-  'Area must be positive (got ' || area || '). Field: area. Zero or negative areas are never valid land areas. Reviewer: verify the area figure against the source document.'
+  'area: ' || area || ' is not above zero'
   FROM n_records WHERE TRY_CAST(area AS DOUBLE) <= 0
 UNION ALL SELECT record_id, 12, 'FMT_UNIT_001', 'area_unit', 'WARNING', 'WARNING',
-  'Area unit ''' || area_unit || ''' is not in the known list (hectare, acre, sqm). Field: area_unit. Regional units vary, so this is a review prompt, not a rejection. Reviewer: confirm the unit as written in the source document.'
+  'area_unit: ''' || area_unit || ''' is neither hectare nor acre nor sqm; it may be a local unit'
   FROM n_records WHERE coalesce(area_unit, '') <> '' AND area_unit NOT IN ('hectare', 'acre', 'sqm')
 UNION ALL SELECT record_id, 13, 'FMT_DATE_001', 'record_date', 'WARNING', 'WARNING',
-  'Record date ''' || record_date || ''' is not in a recognized format. Field: record_date. The raw value was preserved unchanged. Reviewer: confirm the intended date from the source document.'
+  'record_date: ''' || record_date || ''' has no known form and was left as it is'
   FROM n_records WHERE coalesce(record_date, '') <> '' AND NOT regexp_full_match(record_date, '\d{{4}}-\d{{2}}-\d{{2}}')
 UNION ALL {_UNKNOWN}
 UNION ALL {_chain(23, 'REF_GEO_CHAIN_001', 'village', 'tehsil')}
@@ -382,7 +378,7 @@ SELECT *, CASE WHEN coalesce(survey_number, '') <> '' AND coalesce(village, '')
     "r_all": ("r_issues d_records", """
 SELECT record_id, pos, rule_id, field_name, status, severity, message FROM r_issues
 UNION ALL SELECT record_id, 30, 'DUP_CANDIDATE_001', 'survey_number', 'REVIEW_REQUIRED', 'WARNING',
-  'Possible duplicate: survey number ''' || survey_number || ''' in village ''' || village || ''' matches ' || CAST(match_count AS VARCHAR) || ' existing record(s). This is a review prompt, not a fraud finding — the same parcel may legitimately be re-digitized. Reviewer: compare against the matched record(s) before approving.'
+  'survey_number: ''' || survey_number || ''' of ''' || village || ''' is also in ' || CAST(match_count AS VARCHAR) || ' other record(s); a parcel can be recorded twice for good reasons, so look at them before approval'
   FROM d_records WHERE match_count > 0"""),
     "verdicts": ("n_records r_all", """
 SELECT n.record_id, n.k, n.district, n.tehsil, n.status, coalesce(i.issues, 0) AS issues, coalesce(i.rules, '') AS rules,

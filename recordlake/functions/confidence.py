@@ -77,26 +77,26 @@ def needs_review(score: Column, issues: Column) -> Column:
 
 def reasons(value: Column, ocr: Column, extraction: Column, issues: Column, score: Column) -> Column:
     """The explanation of a score, in a fixed order."""
-    from_page = F.when(ocr.isNotNull(), F.format_string("OCR line confidence %.2f", ocr)).otherwise(
-        F.when(value.isNotNull(), F.lit("no matching OCR line found; OCR signal unavailable"))
-        .otherwise(F.lit("no value to locate in OCR text"))
+    from_page = F.when(ocr.isNotNull(), F.format_string("line on the page: %.2f", ocr)).otherwise(
+        F.when(value.isNotNull(), F.lit("no line on the page holds the value"))
+        .otherwise(F.lit("nothing to look for on the page"))
     )
-    from_extraction = F.when(extraction.isNotNull(), F.format_string("extraction confidence %.2f", extraction)).otherwise(
-        F.lit("extraction confidence not reported")
+    from_extraction = F.when(extraction.isNotNull(), F.format_string("extraction: %.2f", extraction)).otherwise(
+        F.lit("extraction: not stated")
     )
     from_issues = F.transform(
         issues,
         lambda i: F.concat(
-            F.lit("validation "), F.coalesce(i["rule_id"], F.lit("None")), F.lit(" "),
+            F.lit("rule "), F.coalesce(i["rule_id"], F.lit("None")), F.lit(" "),
             F.coalesce(i["status"], F.lit("None")), F.lit(": "),
             F.left(F.coalesce(i["message"], F.lit("")), F.lit(REASON_MESSAGE_LENGTH)),
         ),
     )
-    cap = F.when(any_blocking(issues), F.lit(f"blocking validation issue caps score at {FAIL_CAP}")).when(
-        any_actionable(issues), F.lit(f"review-level validation issue caps score at {WARNING_CAP}")
+    cap = F.when(any_blocking(issues), F.lit(f"a blocking finding limits the score to {FAIL_CAP}")).when(
+        any_actionable(issues), F.lit(f"a finding limits the score to {WARNING_CAP}")
     )
-    flag = F.when(any_actionable(issues) & (score >= MEDIUM), F.lit("flagged for human review by validation outcome"))
-    missing = F.when(value.isNull(), F.lit("value is missing; nothing to score"))
+    flag = F.when(any_actionable(issues) & (score >= MEDIUM), F.lit("a finding asks for a look at the value"))
+    missing = F.when(value.isNull(), F.lit("no value, no score"))
     return F.array_compact(
         F.concat(F.array(from_page, from_extraction, missing), from_issues, F.array(cap, flag))
     )

@@ -142,8 +142,8 @@ def rollup_record(df: DataFrame) -> DataFrame:
         "overall_band": conf.band(F.col("overall_score")),
         "review_required": F.exists("fields", lambda f: f["review_required"]) | (record_level > 0),
         "reasons": F.array_compact(F.array(
-            F.when(record_level > 0, F.concat(record_level.cast("string"), F.lit(" record-level validation issue(s) require review"))),
-            F.when(F.col("overall_score").isNull(), F.lit("no scorable fields; record needs review")),
+            F.when(record_level > 0, F.concat(record_level.cast("string"), F.lit(" finding(s) on the whole record"))),
+            F.when(F.col("overall_score").isNull(), F.lit("no field has a score")),
         )),
     })
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from recordlake.functions import confidence as conf
 from recordlake.functions import labels
+from recordlake.functions.files import is_stored_path
 from recordlake.operators import aggregates as agg
 from recordlake.operators import joins, search, windows
 from recordlake.plans import process, reports
@@ -67,9 +68,11 @@ def _(spark, d):
 
 
 @check("s6_ingest_accepted", f"""
-SELECT sha256(path) AS id, file_name, any_mime AS file_type, CAST(length AS BIGINT) AS file_size, sha256(body) AS checksum FROM m_files WHERE {_FILE_ERROR} IS NULL""", "m_files")
+SELECT sha256(path) AS id, file_name, any_mime AS file_type, CAST(length AS BIGINT) AS file_size, sha256(body) AS checksum, 'deed' AS document_type, CAST(NULL AS VARCHAR) AS language,
+  'documents/' || md5(path) || '/' || md5(sha256(body) || path) || '.pdf' AS storage_path, true AS stored, 'u1' AS uploaded_by FROM m_files WHERE {_FILE_ERROR} IS NULL""", "m_files")
 def _(spark, d):
-    return readers.ingest_files(v.files(spark, d), 20000)[0].select("id", "file_name", "file_type", "file_size", "checksum")
+    return readers.ingest_files(v.files(spark, d), 20000, " deed ", " ", "u1")[0].select(
+        "id", "file_name", "file_type", "file_size", "checksum", "document_type", "language", "storage_path", is_stored_path(F.col("storage_path")).alias("stored"), "uploaded_by")
 
 
 @check("s7_projected_scans", """
@@ -595,6 +598,24 @@ def _(spark, d):
     return search.page_audit(v.audit(spark, d), 3, 30)[0].select("id")
 
 
+def _after(df, order, pages: int, limit: int):
+    """The page after ``pages`` pages, each reached from the last row of the one before."""
+    last = None
+    for _ in range(pages):
+        last = search.page_after(df, order, last, limit).tail(1)[0].asDict()
+    return search.page_after(df, order, last, limit)
+
+
+@check("t1_page_after", "SELECT record_id FROM v_records ORDER BY updated_at DESC, record_id LIMIT 25 OFFSET 50", "v_records")
+def _(spark, d):
+    return _after(v.records(spark, d), [("updated_at", False), ("record_id", True)], 2, 25).select("record_id")
+
+
+@check("t3_page_after", "SELECT id FROM v_audit ORDER BY at_us, id LIMIT 30 OFFSET 60", "v_audit")
+def _(spark, d):
+    return _after(v.audit(spark, d), [("timestamp", True), ("id", True)], 2, 30).select("id")
+
+
 def _queue(spark, d, mode):
     return search.first_n(v.tasks(spark, d), search.queue_order(mode), 40).select("id")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import literal_map, strip
+from .text import let, literal_map, strip
 
 # --- fixed values -----------------------------------------------------------
 MIME_TO_EXTENSION = {
@@ -53,13 +53,15 @@ def extension(filename: Column) -> Column:
 def resolve_mime(filename: Column, declared: Column) -> Column:
     """``struct(mime, error_code)``: extension and declared type must agree when both are known."""
     said = F.lower(strip(F.coalesce(F.split_part(declared, F.lit(";"), F.lit(1)), F.lit(""))))
-    declared_mime = F.when(said.isin(*MIME_TO_EXTENSION), said)
-    expected = F.element_at(literal_map(EXTENSION_TO_MIME), extension(filename))
-    mime = F.coalesce(declared_mime, expected)
-    error = F.when(expected.isNotNull() & (mime != expected), F.lit("FILE_TYPE_MISMATCH")).when(
-        mime.isNull(), F.lit("UNSUPPORTED_FILE_TYPE")
-    )
-    return F.struct(F.when(error.isNull(), mime).alias("mime"), error.alias("error_code"))
+
+    def judge(known: Column) -> Column:
+        expected = known["expected"]
+        mime = F.coalesce(F.when(known["said"].isin(*MIME_TO_EXTENSION), known["said"]), expected)
+        error = F.when(expected.isNotNull() & (mime != expected), F.lit("FILE_TYPE_MISMATCH")).when(mime.isNull(), F.lit("UNSUPPORTED_FILE_TYPE"))
+        return F.struct(F.when(error.isNull(), mime).alias("mime"), error.alias("error_code"))
+
+    by_name = F.element_at(literal_map(EXTENSION_TO_MIME), extension(filename))
+    return let(F.struct(said.alias("said"), by_name.alias("expected")), judge)
 
 
 def upload_check(filename: Column, size: Column, declared: Column, max_bytes: int) -> Column:
@@ -79,14 +81,22 @@ def size_error(size: Column, max_bytes: int) -> Column:
 
 def content_matches(content: Column, mime: Column) -> Column:
     """Whether the first bytes belong to the given type."""
-    head = F.hex(F.substring(content, 1, 8))
-    out = F.lit(False)
-    for name, markers in MAGIC_BYTES.items():
-        hit = F.lit(False)
-        for marker in markers:
-            hit = hit | F.startswith(head, F.lit(marker.hex().upper()))
-        out = F.when(mime == name, hit).otherwise(out)
-    return out
+    def judge(seen: Column) -> Column:
+        out = F.lit(False)
+        for name, markers in MAGIC_BYTES.items():
+            hit = F.lit(False)
+            for marker in markers:
+                hit = hit | F.startswith(seen["head"], F.lit(marker.hex().upper()))
+            out = F.when(seen["mime"] == name, hit).otherwise(out)
+        return out
+
+    return let(F.struct(F.hex(F.substring(content, 1, 8)).alias("head"), mime.alias("mime")), judge)
+
+
+def storage_path(path: Column, checksum: Column, mime: Column) -> Column:
+    """A place for an accepted file: it tells nothing of the name it came with, and a task that runs again makes the same one."""
+    return F.concat(F.lit("documents/"), F.md5(path.cast("binary")), F.lit("/"), F.md5(F.concat(checksum, path).cast("binary")), F.lit("."),
+                    F.element_at(literal_map(MIME_TO_EXTENSION), mime))
 
 
 def is_stored_path(path: Column) -> Column:

@@ -83,3 +83,8 @@ def text_key(separator: str, *cols: Column) -> Column:
 def literal_map(values: dict[str, str]) -> Column:
     """A constant string-to-string lookup."""
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it and however far the optimizer moves the whole."""
+    return F.transform(F.array(value), body)[0]

@@ -109,7 +109,7 @@ def match_checksum(documents: DataFrame, known: DataFrame) -> DataFrame:
         F.lower(strip(F.col("sha256"))).alias("_sha"), F.col("fixture_id")
     ).groupBy("_sha").agg(F.min("fixture_id").alias("fixture_id"))
     keyed = documents.withColumn("_sha", F.when(F.length(digest) == 64, digest))
-    return skew.lookup(keyed, listed, "_sha", skew.is_small(listed)).drop("_sha")
+    return keyed.join(listed, "_sha", "left").drop("_sha")
 
 
 def plan_rerun(manifest: DataFrame, outputs: DataFrame, model: str, prompt_version: str) -> DataFrame:

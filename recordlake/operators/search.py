@@ -118,12 +118,34 @@ def first_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
 
 
 def page_rows(df: DataFrame, order: list[Column], page: int, limit: int) -> DataFrame:
-    """Rows of a 1-based page; a page past the end is empty."""
+    """Rows of a 1-based page; a page past the end is empty.
+
+    Reaching a page costs as much as all pages before it, so this is for the first few; go on with :func:`page_after`.
+    """
     if page < 1 or limit < 1:
         raise ValueError("page and limit start at 1")
     return df.orderBy(*order).offset((page - 1) * limit).limit(limit)
 
 
+def page_after(df: DataFrame, order: list[tuple[str, bool]], after: dict | None, limit: int) -> DataFrame:
+    """The ``limit`` rows that follow the row with the values ``after``, however deep; the first ones for None.
+
+    ``order`` names the columns and whether they ascend; together they must tell rows apart, and NULLs come last. The last row of a
+    page is the ``after`` of the next one. Rows before it are filtered at the scan and never sorted.
+    """
+    if limit < 1:
+        raise ValueError("limit starts at 1")
+    if after is not None:
+        beyond, same = F.lit(False), F.lit(True)
+        for name, ascending in order:
+            c, value = F.col(name), F.lit(after[name])
+            later = F.lit(False) if after[name] is None else c.isNull() | ((c > value) if ascending else (c < value))
+            beyond = beyond | (same & later)
+            same = same & c.eqNullSafe(value)
+        df = df.filter(beyond)
+    return df.orderBy(*[F.col(n).asc_nulls_last() if up else F.col(n).desc_nulls_last() for n, up in order]).limit(limit)
+
+
 def page(df: DataFrame, order: list[Column], number: int, limit: int) -> tuple[DataFrame, int]:
     """A page and the total number of rows."""
     return page_rows(df, order, number, limit), df.count()

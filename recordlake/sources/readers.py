@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import files as checks
-from ..functions.text import strip
+from ..functions.text import let, strip
 from ..operators import skew
 
 
@@ -67,21 +67,25 @@ def check_files(files: DataFrame, max_bytes: int = 10 << 20) -> DataFrame:
     """Add ``file_name``, ``file_type`` and ``error_code``. Content is looked at only when the size is acceptable."""
     named = files.withColumn("file_name", checks.sanitize_filename(F.col("filename")))
     typed = named.withColumn("_mime", checks.resolve_mime(F.col("file_name"), F.col("declared_mime")))
-    mime = F.col("_mime.mime")
-    error = F.coalesce(F.col("_mime.error_code"), checks.size_error(F.col("length"), max_bytes))
-    mismatch = F.when(error.isNull() & ~checks.content_matches(F.col("content"), mime), F.lit("FILE_CONTENT_MISMATCH"))
-    return typed.select(
-        *files.columns, "file_name", mime.alias("file_type"), F.coalesce(error, mismatch).alias("error_code")
-    )
+    error = let(F.col("_mime"), lambda m: F.coalesce(
+        m["error_code"], checks.size_error(F.col("length"), max_bytes),
+        F.when(~checks.content_matches(F.col("content"), m["mime"]), F.lit("FILE_CONTENT_MISMATCH"))))
+    return typed.select(*files.columns, "file_name", F.col("_mime.mime").alias("file_type"), error.alias("error_code"))
 
 
-def ingest_files(files: DataFrame, max_bytes: int = 10 << 20) -> tuple[DataFrame, DataFrame]:
-    """(accepted documents, rejects with their code)."""
+def ingest_files(files: DataFrame, max_bytes: int = 10 << 20, document_type: str | None = None, language: str | None = None,
+                 uploaded_by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted documents, rejects with their code). Accepted files get a generated storage path; blank descriptions are NULL."""
     checked = check_files(files, max_bytes)
-    digest = checks.sha256_hex(F.col("content"))
-    accepted = checked.filter("error_code is null").select(
-        F.sha2(F.col("path"), 256).alias("id"), "file_name", "file_type", F.col("length").alias("file_size"),
-        digest.alias("checksum"), F.col("path").alias("storage_path"), F.lit("UPLOADED").alias("processing_status"),
+
+    def described(text: str | None, name: str):
+        return F.lit((text or "").strip() or None).cast("string").alias(name)
+
+    accepted = checked.filter("error_code is null").withColumn("checksum", checks.sha256_hex(F.col("content"))).select(
+        F.sha2(F.col("path"), 256).alias("id"), "file_name", "file_type", F.col("length").alias("file_size"), "checksum",
+        described(document_type, "document_type"), described(language, "language"),
+        checks.storage_path(F.col("path"), F.col("checksum"), F.col("file_type")).alias("storage_path"),
+        F.lit(uploaded_by).cast("string").alias("uploaded_by"), F.lit("UPLOADED").alias("processing_status"),
     )
     rejected = checked.filter("error_code is not null").select("path", "file_name", "length", "error_code")
     return accepted, rejected
@@ -94,8 +98,12 @@ def replay_known(documents: DataFrame, known: DataFrame) -> tuple[DataFrame, Dat
     """
     digest = F.lower(strip(F.col("checksum")))
     keyed = documents.withColumn("_sha", F.when(F.length(digest) == 64, digest))
-    listed = known.withColumn("_sha", F.lower(strip(F.col("sha256")))).drop("sha256").dropDuplicates(["_sha"])
-    marked = skew.lookup(keyed, listed.withColumn("_hit", F.lit(True)), "_sha", skew.is_small(listed))
+    rows = known.withColumn("_sha", F.lower(strip(F.col("sha256")))).drop("sha256")
+    # Of several stored results of a file the first in the order of its columns counts. Results can be wide, so their bytes decide
+    # how they are joined; a digest that many documents share is left to the adaptive join.
+    kept = [c for c in rows.columns if c != "_sha"]
+    listed = rows.groupBy("_sha").agg(F.min(F.struct(*kept)).alias("_known")).select("_sha", *[F.col(f"_known.{c}").alias(c) for c in kept])
+    marked = keyed.join(listed.withColumn("_hit", F.lit(True)), "_sha", "left")
     hits = marked.filter("_hit").drop("_sha", "_hit")
     misses = marked.filter("_hit is null").select(
         *documents.columns, F.lit("DEMO_DOCUMENT_NOT_RECOGNISED").alias("error_code")

@@ -6,10 +6,13 @@ occur in several documents matter, so the graph is never built whole:
 1. A window's minimizer is the least hash of the runs of ``m`` words in it. Equal windows have equal minimizers, and neighbouring
    windows mostly share theirs, so a text has about 2 / (k - m + 2) of them per word. Minimizers seen in several documents are
    marked in a bitmap of fixed size. A window whose minimizer is not marked occurs in one document only.
-2. The other windows, the candidate edges, are joined over all documents: each goes to the document with the least id, its owner.
-   Tasks send an edge once, so an edge that is everywhere costs one row per task.
-3. Every document gets its own edges back. Along its coordinates, candidate edges that it does not own compact into nonbranching
-   paths, and these are the spans whose windows all start in an earlier document too. Words in such spans go.
+2. The other windows, the candidate edges, are gathered over all documents: each belongs to the document with the least id that has
+   it, its owner, and keeps its place there and the last document that has it. Tasks send an edge once, so an edge that is
+   everywhere costs one row per task.
+3. Edges that follow each other in their owner and end up in the same last document do not branch; they compact into paths with the
+   owner's coordinates, a repeated passage for each path whose last document is not its owner.
+4. Paths are joined to the documents by owner. In a document, candidate edges that none of its own paths holds start in an earlier
+   document too; runs of them are the spans whose words go.
 
 The bitmap only saves work: marks that are set by chance make a window a candidate, which its one document then owns. Windows are
 told apart by 64-bit hashes.
@@ -23,10 +26,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, fresh, id_and_text, in_bitmap, mixed, pieces, rolled, segments, sliding_min
+from .common import bitmap_of, id_and_text, in_bitmap, mixed, pieces, rolled, segments, sliding_min
 
 NO_ID = -(1 << 63)
 
@@ -63,34 +66,64 @@ def candidates(hashes: np.ndarray, at: np.ndarray, k: int, m: int, bits: np.ndar
     return which, rolled(hashes, k)[at[which]]
 
 
-def owned_edges(rows: DataFrame, k: int, m: int, bits) -> DataFrame:
-    """(owner, edges): the candidate edges of ``rows(doc_id, text)`` that start in no document before the owner."""
+def edges(rows: DataFrame, k: int, m: int, bits) -> DataFrame:
+    """(edge, owner, place, last): the candidate edges of ``rows(doc_id, text)``, each with the first and the last document it starts in."""
     def run(batches):
         for piece in pieces(batches):
             ids = piece.column("doc_id").to_numpy(zero_copy_only=False)
             for seg in segments(piece.column("text").to_pylist(), bytes.split, k):
                 at = seg.windows(k)
-                which, edges = candidates(seg.hashes, at, k, m, bits.value)
-                of = ids[seg.places(at[which])[0]]
-                order = np.lexsort((of, edges))
-                edges, of = edges[order], of[order]
-                first = np.concatenate(([True], edges[1:] != edges[:-1]))[:len(edges)]
-                yield pa.RecordBatch.from_arrays([pa.array(edges[first].view(np.int64)), pa.array(of[first])], ["edge", "doc_id"])
+                which, found = candidates(seg.hashes, at, k, m, bits.value)
+                text, place = seg.places(at[which])
+                of = ids[text]
+                order = np.lexsort((place, of, found))
+                found, of, place = found[order], of[order], place[order]
+                new = found[1:] != found[:-1]
+                first, last = np.flatnonzero(np.concatenate(([True], new))[:len(found)]), np.flatnonzero(np.concatenate((new, [True]))[:len(found)])
+                yield pa.RecordBatch.from_arrays([pa.array(found[first].view(np.int64)), pa.array(of[first]), pa.array(of[last]), pa.array(place[first].astype(np.int32))],
+                                                 ["edge", "first_doc", "last_doc", "place"])
 
-    edges = rows.mapInArrow(run, "edge long, doc_id long").groupBy("edge").agg(F.min("doc_id").alias("owner"))
-    return edges.groupBy("owner").agg(F.collect_list("edge").alias("edges"))
+    sent = rows.mapInArrow(run, "edge long, first_doc long, last_doc long, place int")
+    return sent.groupBy("edge").agg(F.min("first_doc").alias("owner"), F.min_by("place", "first_doc").alias("place"), F.max("last_doc").alias("last"))
+
+
+def paths(found: DataFrame) -> DataFrame:
+    """(owner, start, last, edges): maximal runs of ``edges`` that follow each other in their owner and share the last document."""
+    along = Window.partitionBy("owner").orderBy("place")
+    follows = (F.col("place") - F.lag("place").over(along) <= 1) & (F.col("last") == F.lag("last").over(along))
+    # Rows of one id with different texts can have two edges at one place; both stay.
+    number = F.sum(F.when(F.coalesce(F.col("follows"), F.lit(False)), 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = found.withColumn("follows", follows).withColumn("path", number)
+    return numbered.groupBy("owner", "path").agg(F.min("place").alias("start"), F.first("last").alias("last"), F.collect_list("edge").alias("edges")).drop("path")
+
+
+def repeated_passages(docs: DataFrame, k: int = 13, m: int = 5, log_bits: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(owner, start, n_words, last): the compacted paths that occur in several documents, at their place in the first of them."""
+    rows = keyed(docs, id_col, text_col).select("doc_id", "text")
+    bits = docs.sparkSession.sparkContext.broadcast(marked_minimizers(rows, k, m, log_bits))
+    found = paths(edges(rows, k, m, bits)).filter("owner <> last")
+    return found.select(real_id(F.col("owner")).alias("owner"), "start", (F.size("edges") + k - 1).alias("n_words"), real_id(F.col("last")).alias("last"))
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text) with a number below all others for a null id."""
+    return id_and_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+
+
+def real_id(key: Column) -> Column:
+    return F.nullif(key, F.lit(NO_ID))
 
 
 def removed_words(text: bytes, own: np.ndarray, k: int, m: int, bits: np.ndarray) -> tuple[list[bytes], np.ndarray, int]:
-    """Words of a text, which of them lie in a foreign path, and the number of such paths."""
+    """Words of a text, which of them lie in a span of foreign edges, and the number of such spans."""
     words = text.split()
     foreign = np.zeros(max(0, len(words) - k + 1), bool)
     for seg in segments([text], bytes.split, k):
         at = seg.windows(k)
-        which, edges = candidates(seg.hashes, at, k, m, bits)
+        which, found = candidates(seg.hashes, at, k, m, bits)
         _, place = seg.places(at[which])
-        foreign[place] = ~np.isin(edges, own)
-    # A path is a run of consecutive foreign edges; it covers k - 1 words more than it has edges.
+        foreign[place] = ~np.isin(found, own)
+    # A span is a run of consecutive foreign edges; it covers k - 1 words more than it has edges.
     ends = np.flatnonzero(np.diff(np.concatenate(([0], foreign.view(np.int8), [0]))))
     gone = np.zeros(len(words) + 1, np.int64)
     np.add.at(gone, ends[::2], 1)
@@ -99,32 +132,27 @@ def removed_words(text: bytes, own: np.ndarray, k: int, m: int, bits: np.ndarray
 
 
 def without_repeats(docs: DataFrame, k: int = 13, m: int = 5, log_bits: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, kept, n_words, n_removed, n_paths) for every row: the kept words joined by one space, and counts."""
-    null_id = fresh(["doc_id", "text"], "null_id")
-    rows = id_and_text(docs, id_col, text_col).withColumn(null_id, F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    plain = rows.select("doc_id", "text")
-    bits = docs.sparkSession.sparkContext.broadcast(marked_minimizers(plain, k, m, log_bits))
-    owned = owned_edges(plain, k, m, bits)
+    """(doc_id, kept, n_words, n_removed, n_spans) for every row: the kept words joined by one space, and counts."""
+    rows = keyed(docs, id_col, text_col)
+    bits = docs.sparkSession.sparkContext.broadcast(marked_minimizers(rows, k, m, log_bits))
+    owned = paths(edges(rows, k, m, bits)).groupBy("owner").agg(F.collect_list("edges").alias("own"))
 
     def run(batches):
-        none = np.zeros(0, np.int64)
-        for batch in batches:
-            for piece in pieces([batch]):
-                kept, counts = [], []
-                for text, own in zip(piece.column("text").to_pylist(), piece.column("edges")):
-                    own = own.values.to_numpy(zero_copy_only=False).view(np.uint64) if own.is_valid else none.view(np.uint64)
-                    words, gone, paths = removed_words(text, own, k, m, bits.value)
-                    kept.append(b" ".join(w for w, g in zip(words, gone.tolist()) if not g) if paths else b" ".join(words))
-                    counts.append((len(words), int(gone.sum()), paths))
-                n_words, n_removed, n_paths = zip(*counts)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column(null_id), pa.array(kept, pa.binary()), pa.array(n_words, pa.int64()),
-                                                  pa.array(n_removed, pa.int64()), pa.array(n_paths, pa.int64())], names)
-
-    names = ["doc_id", null_id, "kept", "n_words", "n_removed", "n_paths"]
-    done = (rows.join(owned, rows["doc_id"] == owned["owner"], "left").select("doc_id", null_id, "text", "edges")
-            .mapInArrow(run, f"doc_id long, {null_id} boolean, kept binary, n_words long, n_removed long, n_paths long"))
-    return done.select(F.when(~F.col(null_id), F.col("doc_id")).alias("doc_id"), "kept", "n_words", "n_removed", "n_paths")
+        none = np.zeros(0, np.uint64)
+        for piece in pieces(batches):
+            kept, counts = [], []
+            for text, own in zip(piece.column("text").to_pylist(), piece.column("own")):
+                own = own.values.flatten().to_numpy(zero_copy_only=False).view(np.uint64) if own.is_valid else none
+                words, gone, n = removed_words(text, own, k, m, bits.value)
+                kept.append(b" ".join(w for w, g in zip(words, gone.tolist()) if not g) if n else b" ".join(words))
+                counts.append((len(words), int(gone.sum()), n))
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(kept, pa.binary()), *(pa.array(c, pa.int64()) for c in zip(*counts))],
+                                             ["doc_id", "kept", "n_words", "n_removed", "n_spans"])
+
+    done = (rows.join(owned, rows["doc_id"] == owned["owner"], "left").select("doc_id", "text", "own")
+            .mapInArrow(run, "doc_id long, kept binary, n_words long, n_removed long, n_spans long"))
+    return done.withColumn("doc_id", real_id(F.col("doc_id")))
 
 
 def digest(done: DataFrame) -> DataFrame:
-    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "n_paths")
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "n_spans")

@@ -52,7 +52,15 @@ def test_equals_brute_force(spark, monkeypatch, k, m, log_bits, at_once):
     assert got == slow(rows, k) and sum(r[2] for r in got) > 200
 
 
+def test_passages_have_the_coordinates_of_their_first_document(spark):
+    common_part = " ".join("c%d" % i for i in range(20))
+    other = " ".join("o%d" % i for i in range(15))
+    rows = [(3, "x y " + common_part + " z"), (7, common_part), (9, "q " + common_part + " r " + other), (4, "w w w " + other), (11, "nothing here " * 9)]
+    got = repeats.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.owner, r.start, r.n_words, r["last"]) for r in got) == [(3, 2, 20, 9), (4, 3, 15, 9)]
+
+
 def test_edges_of_the_input(spark):
     assert repeats.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    got = repeats.digest(repeats.without_repeats(spark.createDataFrame([(1, "a b c", 1, [1])], "doc_id long, text string, null_id int, edges array<int>"))).first()
+    got = repeats.digest(repeats.without_repeats(spark.createDataFrame([(1, "a b c", 1, [1])], "doc_id long, text string, owner int, own array<int>"))).first()
     assert (got.n_words, got.n_removed, got.kept_sha256) == (3, 0, hashlib.sha256(b"a b c").hexdigest())

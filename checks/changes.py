@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from recordlake.functions.text import compare_key
 from recordlake.operators import state
 from recordlake.plans import evaluate, process
-from recordlake.sources.readers import shared_folder
+from recordlake.operators.skew import shared_folder
 from recordlake.streaming import jobs as streams
 
 from . import views as v

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions.text import strip
 from ..schemas import FIELD_NAMES
@@ -131,36 +130,30 @@ def rerun_ids(missing: DataFrame, stale: DataFrame) -> DataFrame:
     return missing.select("id").unionByName(stale.select("id")).distinct().orderBy("id")
 
 
-def reuse_cached(requests: DataFrame, cache: DataFrame, ttl_seconds: int) -> DataFrame:
+def reuse_cached(requests: DataFrame, cache: DataFrame, ttl_seconds: int, slices: int | None = None) -> DataFrame:
     """Add ``cached_at`` and ``cached_id``: the newest stored result with the same key, at most ``ttl_seconds`` old.
 
-    ``requests`` has (request_id, key, at), ``cache`` has (cache_id, key, at). Both are laid out in slices of the
-    time to live; a stored row is also copied to the next slice. One ordered pass per (key, slice) then finds the
-    newest predecessor, without pairing requests and stored rows.
+    ``requests`` has (request_id, key, at), ``cache`` has (cache_id, key, at). Both are laid out in one order per key; a pass over
+    slices of it finds the newest predecessor of each request without pairing requests and stored rows.
     """
     ttl = ttl_seconds * 1_000_000
 
     def micros(name: str) -> Column:
         return F.unix_micros(F.col(name).cast("timestamp"))
 
-    def slot(c: Column) -> Column:
-        return F.floor(c / F.lit(ttl)).cast("long")
-
     asked = requests.select(
         "request_id", "key", F.col("at"), micros("at").alias("_t"), F.lit(1).alias("_kind"),
-        slot(micros("at")).alias("_slot"), F.lit(None).cast("struct<t:bigint,at:timestamp,id:string>").alias("_hit"),
+        F.lit(None).cast("struct<t:bigint,at:timestamp,id:string>").alias("_hit"),
     )
     stored = cache.select(
         F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"), "key", F.col("at"),
         micros("at").alias("_t"), F.lit(0).alias("_kind"),
-        F.explode(F.array(slot(micros("at")), slot(micros("at")) + 1)).alias("_slot"),
         F.struct(
             micros("at").alias("t"), F.col("at").cast("timestamp").alias("at"), F.col("cache_id").cast("string").alias("id")
         ).alias("_hit"),
     )
-    tie = F.coalesce(F.col("_hit.id"), F.lit(""))
-    order = Window.partitionBy("key", "_slot").orderBy("_t", "_kind", tie).rowsBetween(Window.unboundedPreceding, 0)
-    seen = asked.unionByName(stored).withColumn("_last", F.last("_hit", ignorenulls=True).over(order))
+    tie = F.coalesce(F.col("_hit.id"), F.col("request_id").cast("string"), F.lit(""))
+    seen = skew.last_before(asked.unionByName(stored), "key", [F.col("_t"), F.col("_kind"), tie], "_hit", slices, "_last")
     fresh = F.col("_t") - F.col("_last.t") <= ttl
     return seen.filter("_kind = 1").select(
         "request_id", "key", "at",

@@ -6,12 +6,13 @@ Three patterns are enough for the whole package:
   side is spread over salts and the right side is copied once per salt.
 * ``attach``: the right side is an aggregate of the left side itself. Keys above ``hot_rows`` are few by
   arithmetic (at most rows / hot_rows), so they are broadcast and their rows never meet in one task.
-* ``sliced windows``: an ordering within a key is computed per time slice, with the slice totals carried forward.
+* ``sliced windows``: an ordering within a key is computed per slice of about equal row counts, with the slice totals carried
+  forward.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -57,47 +58,82 @@ def attach(rows: DataFrame, per_key: DataFrame, key: str, size: str, row_id: Col
     return joined.select(*rows.columns, *[F.coalesce(F.col("_hot")[v], F.col("_cold")[v]).alias(v) for v in values])
 
 
-def _sliced(df: DataFrame, key: str, at: str, slice_unit: str) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
+    """The table written once to the folder of ``spark.checkpoint.dir``, for steps that have to see the same partitions twice."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors can reach: ``spark.checkpoint.dir`` or, where the session names none, one beside its warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+
+
+def in_slices(df: DataFrame, key: str, order: list[Column], slices: int | None = None) -> DataFrame:
+    """Rows with ``_key``, the ordering values ``_o0``, ``_o1``, ... and ``_slice``.
+
+    Rows are range-partitioned by key and order, and a slice is what one partition holds of a key. So slices follow the number of
+    rows, whatever the order values are, and a key with most of the rows has most of the slices. NULLs come first.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
     # Plain non-null columns, so that the window and the join below share one shuffle.
-    return df.withColumns({
-        "_key": F.coalesce(F.col(key).cast("string"), F.lit("\x00")),
-        "_slice": F.coalesce(F.date_trunc(slice_unit, F.col(at)), F.lit("0001-01-01").cast("timestamp")),
-    })
+    keyed = df.withColumns({"_key": F.coalesce(F.col(key).cast("string"), F.lit("\x00")), **dict(zip(names, order))})
+    by = ["_key", *names]
+    dealt = keyed.repartitionByRange(slices, *by) if slices else keyed.repartitionByRange(*by)
+    return settled(dealt.withColumn("_slice", F.spark_partition_id()))
+
 
+def _in_order(df: DataFrame):
+    names = sorted(c for c in df.columns if c.startswith("_o"))
+    return Window.partitionBy("_key", "_slice").orderBy(*[F.col(n).asc_nulls_first() for n in names])
 
-def running_position(df: DataFrame, key: str, at: str, tie: str, slice_unit: str = "DAY",
-                     name: str = "position") -> DataFrame:
+
+def running_position(df: DataFrame, key: str, at: str, tie: str, slices: int | None = None, name: str = "position") -> DataFrame:
     """1-based position of each row within ``key`` ordered by (``at``, ``tie``).
 
-    Rows are numbered within (key, time slice); the number of rows in earlier slices is added. A key with very many
-    rows is thus ordered by as many tasks as it has slices. Rows without a time come first.
+    Rows are numbered within their slice of the key; the number of rows in earlier slices is added. Rows without a time come first.
     """
-    sliced = _sliced(df, key, at, slice_unit)
+    sliced = in_slices(df, key, [F.col(at), F.col(tie)], slices)
     earlier = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy("_key", "_slice").agg(F.count("*").alias("_n"))
         .select("_key", "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
-    within = Window.partitionBy("_key", "_slice").orderBy(F.col(at).asc_nulls_first(), F.col(tie).asc_nulls_first())
-    numbered = sliced.withColumn("_in_slice", F.row_number().over(within))
+    numbered = sliced.withColumn("_in_slice", F.row_number().over(_in_order(sliced)))
     return numbered.join(offsets, ["_key", "_slice"]).select(
         *df.columns, (F.col("_before") + F.col("_in_slice")).cast("long").alias(name)
     )
 
 
-def next_value(df: DataFrame, key: str, at: str, tie: str, slice_unit: str = "DAY", name: str = "next_at") -> DataFrame:
-    """Time of the following row of the same key, ordered by (``at``, ``tie``); sliced like ``running_position``."""
-    sliced = _sliced(df, key, at, slice_unit)
+def next_value(df: DataFrame, key: str, at: str, tie: str, slices: int | None = None, name: str = "next_at") -> DataFrame:
+    """``at`` of the following row of the same key, ordered by (``at``, ``tie``); sliced like ``running_position``."""
+    sliced = in_slices(df, key, [F.col(at), F.col(tie)], slices)
     order = Window.partitionBy("_key").orderBy("_slice")
+    # The first row of a slice may have no time, so its value is kept in a struct.
     heads = (
-        sliced.groupBy("_key", "_slice").agg(F.min(at).alias("_first"))
+        sliced.groupBy("_key", "_slice").agg(F.min(F.struct(F.col("_o0"), F.col("_o1"))).alias("_first"))
         .select("_key", "_slice", F.lead("_first").over(order).alias("_following"))
     )
-    within = Window.partitionBy("_key", "_slice").orderBy(F.col(at), F.col(tie))
-    led = sliced.withColumn("_lead", F.lead(at).over(within))
+    led = sliced.withColumn("_lead", F.lead(F.struct("_o0")).over(_in_order(sliced)))
     return led.join(heads, ["_key", "_slice"]).select(
-        *df.columns, F.coalesce("_lead", "_following").alias(name)
+        *df.columns, F.when(F.col("_lead").isNotNull(), F.col("_lead._o0")).otherwise(F.col("_following._o0")).alias(name)
+    )
+
+
+def last_before(df: DataFrame, key: str, order: list[Column], value: str, slices: int | None = None, name: str = "last") -> DataFrame:
+    """The newest non-NULL ``value`` of the same key up to and with each row in the given order; sliced like ``running_position``."""
+    sliced = in_slices(df, key, order, slices)
+    ordering = F.struct(*[c for c in sliced.columns if c.startswith("_o")])
+    earlier = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        sliced.groupBy("_key", "_slice").agg(F.max_by(value, F.when(F.col(value).isNotNull(), ordering)).alias("_tail"))
+        .select("_key", "_slice", F.last("_tail", ignorenulls=True).over(earlier).alias("_carried"))
     )
+    so_far = _in_order(sliced).rowsBetween(Window.unboundedPreceding, 0)
+    seen = sliced.withColumn("_seen", F.last(value, ignorenulls=True).over(so_far))
+    return seen.join(carried, ["_key", "_slice"]).select(*df.columns, F.coalesce("_seen", "_carried").alias(name))
 
 
 def previous_struct(df: DataFrame, key: str, order: str, value: Column, slice_rows: int = 10_000,

@@ -31,14 +31,14 @@ def latest_corrections(corrections: DataFrame) -> DataFrame:
     return newest(corrections, ["land_record_id", "field_name"], [F.desc("changed_at"), F.desc("new_value")])
 
 
-def audit_positions(audit: DataFrame, slice_unit: str = "DAY") -> DataFrame:
+def audit_positions(audit: DataFrame, slices: int | None = None) -> DataFrame:
     """Chronological position of every event of an entity."""
-    return skew.running_position(audit, "entity_id", "timestamp", "id", slice_unit)
+    return skew.running_position(audit, "entity_id", "timestamp", "id", slices)
 
 
-def stage_durations(audit: DataFrame, slice_unit: str = "DAY") -> DataFrame:
+def stage_durations(audit: DataFrame, slices: int | None = None) -> DataFrame:
     """Seconds until the next event of the same entity, NULL for its last event."""
-    led = skew.next_value(audit, "entity_id", "timestamp", "id", slice_unit)
+    led = skew.next_value(audit, "entity_id", "timestamp", "id", slices)
     span = (F.unix_micros(F.col("next_at").cast("timestamp")) - F.unix_micros(F.col("timestamp").cast("timestamp"))) / 1e6
     return led.withColumn("seconds", span)
 

@@ -114,8 +114,3 @@ def replay_known(documents: DataFrame, known: DataFrame) -> tuple[DataFrame, Dat
 def decode_payload(c, schema: str):
     """JSON text to a typed value: an object to a struct, an array of objects to rows after ``inline``."""
     return F.from_json(c, schema)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach: ``spark.checkpoint.dir`` or, where the session names none, one beside its warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"

@@ -56,13 +56,13 @@ def export_records(records: DataFrame, fields: DataFrame, issues: DataFrame, doc
     )
 
 
-def export_audit(audit: DataFrame, now: datetime, part_rows: int, slice_unit: str = "DAY") -> DataFrame:
+def export_audit(audit: DataFrame, now: datetime, part_rows: int, slices: int | None = None) -> DataFrame:
     """Audit events per record in order, as (record_id, part, exported_at, events).
 
     A record with up to ``part_rows`` events has one part. Longer histories continue in further parts, so no row and
     no task grows with the history of a single record.
     """
-    placed = running_position(audit, "entity_id", "timestamp", "id", slice_unit)
+    placed = running_position(audit, "entity_id", "timestamp", "id", slices)
     part = F.floor((F.col("position") - 1) / F.lit(part_rows)).cast("int")
     events = [F.col(c) for c in audit.columns if c != "entity_id"]
     return (

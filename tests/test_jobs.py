@@ -165,3 +165,54 @@ def test_append_log(spark, tmp_path):
     for _ in range(2):
         sinks.append_log(rows, str(tmp_path / "log"), ["entity"])
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_slices_follow_the_rows_not_the_time(spark):
+    from recordlake.operators import joins, skew, windows
+
+    # Nine of ten rows belong to one key and to one second of one day.
+    rows = spark.range(20_000).select(
+        F.col("id").cast("string").alias("id"), F.when(F.col("id") % 10 == 0, F.concat(F.lit("k"), F.col("id") % 70)).otherwise("hot").alias("entity_id"),
+        F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") % 1000).alias("timestamp"))
+    sliced = skew.in_slices(rows, "entity_id", [F.col("timestamp"), F.col("id")], 16)
+    assert sliced.groupBy("_key", "_slice").count().agg(F.max("count")).first()[0] < 3 * 20_000 / 16
+    got = windows.audit_positions(rows, 16).filter("entity_id = 'hot'").orderBy("position").select("position", "timestamp", "id").collect()
+    assert [r.position for r in got] == list(range(1, 18_001))
+    assert [(r.timestamp, r.id) for r in got] == sorted((r.timestamp, r.id) for r in got)
+    spans = windows.stage_durations(rows, 16).filter("entity_id = 'hot'").orderBy("timestamp", "id").collect()
+    assert [r.seconds for r in spans[:-1]] == [(b.timestamp - a.timestamp).total_seconds() for a, b in zip(got, got[1:])] and spans[-1].seconds is None
+    asked = rows.select(F.col("id").alias("request_id"), F.lit("hot").alias("key"), F.col("timestamp").alias("at"))
+    stored = rows.filter("entity_id <> 'hot'").select(F.col("id").alias("cache_id"), F.lit("hot").alias("key"), F.col("timestamp").alias("at"))
+    found = {r.request_id: r for r in joins.reuse_cached(asked, stored, 3600, 16).collect()}
+    assert all(r.cached_at <= r.at and (r.at - r.cached_at).total_seconds() < 1e-5 for r in found.values() if r.cached_at) and sum(r.cached_at is None for r in found.values()) == 0
+
+
+def test_no_child_row_is_lost_in_parts(spark):
+    from recordlake.operators import joins
+
+    records = spark.createDataFrame([("r1", "d1"), ("r2", "d2"), ("r3", "d3")], "record_id string, document_id string")
+    fields = spark.createDataFrame([("r1", f"f{i % 7}", str(i % 3)) for i in range(50)] + [("r2", "x", None)], "record_id string, field_name string, value string")
+    issues = spark.createDataFrame([("r1", f"R{i % 2}", "f1", "FAIL", "ERROR", "same") for i in range(30)], "record_id string, rule_id string, field_name string, status string, severity string, message string")
+    docs = spark.createDataFrame([("d1",), ("d2",)], "id string")
+    got = joins.record_detail(records, fields, issues, docs, part_rows=8).collect()
+    assert sum(len(r.extracted_fields) for r in got) == 51 and sum(len(r.validation) for r in got) == 30
+    assert {r.record_id for r in got} == {"r1", "r2", "r3"} and len([r for r in got if r.record_id == "r1"]) > 3
+    attached = joins.attach_issues(fields.distinct(), issues, part_rows=4).filter("field_name = 'f1' and value = '1'").collect()
+    assert sum(len(r.issues) for r in attached) == 30 and len(attached) > 3
+
+
+def test_the_last_job_of_a_document_counts(spark, tmp_path):
+    rows = arrivals(spark, [1, 2])
+    twice = rows.unionByName(rows.withColumn("job_id", F.concat("job_id", F.lit("b")))).unionByName(rows)
+    out = process.prepare_batch(twice.select("job_id", "document_id", "pages"), twice.drop("pages"), demo(spark), spark.createDataFrame([], "document_id string, survey_number string, village string"), str(tmp_path))
+    assert {(r.job_id, r.error_code) for r in out.collect()} == {("J1", "JOB_SUPERSEDED"), ("J2", "JOB_SUPERSEDED"), ("J1b", None), ("J2b", None)} and out.count() == 4
+
+
+def test_only_the_newest_version_of_a_document_counts(spark):
+    from recordlake.operators import duplicates
+
+    batch = spark.createDataFrame([("n", "1", "v"), ("m", "2", "v")], "document_id string, survey_number string, village string")
+    stored = spark.createDataFrame([("a", "1", "v", 1), ("a", "1", "v", 2), ("b", "1", "v", 1), ("b", "9", "v", 2), ("c", "3", "v", 1), ("c", "2", "v", 2)],
+                                   "document_id string, survey_number string, village string, batch int")
+    got = duplicates.find_duplicates_incremental(batch, stored, version=F.col("batch")).collect()
+    assert {r.document_id: r.match_count for r in got} == {"n": 1, "m": 1}

@@ -12,7 +12,7 @@ from ..operators import aggregates as agg
 from ..operators import evaluation as ev
 from ..operators.joins import align_fields, plan_rerun, with_missing
 from ..operators.ocr import page_lines, pages_text
-from ..schemas import FIELD_NAMES
+from ..schemas import SEVERITIES
 
 
 def field_verdicts(truth: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -71,27 +71,43 @@ def compare_configs(truth: DataFrame, before: DataFrame, after: DataFrame) -> tu
 
 
 def assemble_report(results: DataFrame, fields: DataFrame, checks: DataFrame, scored: DataFrame, ocr: DataFrame,
-                    rerun: DataFrame, now: datetime) -> DataFrame:
-    """One row with every headline number. The only nested value has a key per known field or severity."""
-    per_field = fields.filter(F.col("field_name").isin(*FIELD_NAMES)).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_name", "accuracy")))).alias("field_accuracy"))
+                    rerun: DataFrame, now: datetime, versions: dict[str, str | None]) -> DataFrame:
+    """One row with every headline number, the accuracy of every field name that occurs, and the providers and models in use.
+
+    Findings are counted by severity; one that is NULL or not a known name is in ``issues_unknown``. ``versions`` become columns.
+    """
+    per_field = fields.agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("field_name", F.lit("")).alias("name"), "accuracy")))).alias("field_accuracy"))
     flagged = agg.flagged_fields(scored.select(F.inline("fields")))
-    severities = checks.select(F.explode("issues").alias("i")).select("i.severity").agg(*[
-        F.count_if(F.col("severity") == s).alias(f"issues_{s.lower()}") for s in ("INFO", "WARNING", "ERROR", "CRITICAL")])
+    severity = checks.select(F.explode("issues").alias("i")).select("i.severity")
+    severities = severity.agg(
+        *[F.count_if(F.col("severity") == s).alias(f"issues_{s.lower()}") for s in SEVERITIES],
+        F.count_if(~F.coalesce(F.col("severity").isin(*SEVERITIES), F.lit(False))).alias("issues_unknown"))
+    ok = ~F.coalesce(F.col("failed"), F.lit(False))
+    providers = results.filter(ok).select("provider", "model").distinct().agg(
+        F.array_sort(F.collect_list(F.struct("provider", "model"))).alias("providers"))
+    latency = results.filter(ok).agg(F.avg("elapsed_seconds").alias("mean_extraction_seconds"), F.max("elapsed_seconds").alias("max_extraction_seconds"))
     parts = [
         ev.evaluation_summary(results), agg.verdict_summary(checks), agg.review_rate(checks), severities,
         flagged.withColumnsRenamed({"flagged": "flagged_fields", "total": "scored_fields"}),
-        ocr.select(F.col("mean_cer"), F.col("mean_wer"), F.col("failures").alias("ocr_failures")),
-        rerun.agg(F.count("*").alias("extraction_rerun")), per_field,
+        ocr.select("mean_cer", "mean_wer", F.col("failures").alias("ocr_failures"), F.col("total_seconds").alias("ocr_seconds")),
+        rerun.agg(F.count("*").alias("extraction_rerun")), per_field, providers, latency,
     ]
     report = parts[0]
     for part in parts[1:]:
         report = report.crossJoin(part)
-    return report.withColumn("date", F.lit(now))
+    return report.withColumns({**{f"{k}_version": F.lit(v).cast("string") for k, v in versions.items()}, "date": F.lit(now)})
+
+
+def report_details(results: DataFrame, ocr_results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(seconds per stage and document, failed documents per stage) of a report, as long tables of any length."""
+    stages = results.select(F.lit("extraction").alias("stage"), F.col("id").alias("document_id"), F.col("elapsed_seconds").alias("seconds"), "failed").unionByName(
+        ocr_results.select(F.lit("ocr").alias("stage"), F.col("id").alias("document_id"), "seconds", "failed"))
+    return agg.stage_latency(stages), agg.stage_failures(stages)
 
 
 def evaluation_report(manifest: DataFrame, truth_records: DataFrame, truth_text: DataFrame, outputs: DataFrame,
-                      ocr: DataFrame, reference, model: str, prompt_version: str, now: datetime) -> DataFrame:
+                      ocr: DataFrame, reference, model: str, prompt_version: str, now: datetime, dataset_version: str | None = None) -> DataFrame:
     """Run every evaluation over the same inputs and combine the results."""
     from .process import check_outputs, score_outputs
 
@@ -99,5 +115,6 @@ def evaluation_report(manifest: DataFrame, truth_records: DataFrame, truth_text:
     checks = check_outputs(manifest, outputs, reference)
     scored = score_outputs(outputs, ocr, checks.select("id", "issues"))
     _, ocr_summary = ocr_benchmark(truth_text, ocr)
+    versions = {"dataset": dataset_version, "prompt": prompt_version, "reference": None if reference is None else reference.version}
     rerun = plan_rerun(manifest, outputs, model, prompt_version)
-    return assemble_report(extraction["results"], extraction["fields"], checks, scored, ocr_summary, rerun, now)
+    return assemble_report(extraction["results"], extraction["fields"], checks, scored, ocr_summary, rerun, now, versions)

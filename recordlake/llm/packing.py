@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, pieces, stored
+from .common import fresh, id_and_text, pieces, stored
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -183,13 +183,16 @@ def pack_blocks(items: DataFrame, size: int, islands: int, epochs: int, generati
 
 def pack(cut: DataFrame, size: int = 2048, block_items: int = 6000, islands: int = 2, epochs: int = 2, generations: int = 6, population: int = 4,
          full_enough: float = 0.995) -> DataFrame:
-    """``cut`` (any columns with ``length`` <= size) with sequence_id and offset; rows of a sequence fill it gapless from 0.
+    """``cut`` with sequence_id and offset; rows of a sequence fill it gapless from 0.
+
+    ``cut`` has ``length`` <= size and any other columns but these two.
 
     Repeated rows are pieces of their own. An empty table gives an empty one.
     """
-    named = stored(cut.withColumn("uid", F.monotonically_increasing_id()))
-    whole = named.filter(F.col("length") >= size).withColumn("sequence_id", -1 - F.col("uid")).withColumn("offset", F.lit(0).cast("long"))
-    pool, count, rounds, done = named.filter(F.col("length") < size).select("uid", "length"), None, 0, []
+    uid = fresh(cut.columns, "uid")
+    named = stored(cut.withColumn(uid, F.monotonically_increasing_id()))
+    whole = named.filter(F.col("length") >= size).withColumn("sequence_id", -1 - F.col(uid)).withColumn("offset", F.lit(0).cast("long"))
+    pool, rounds, done = named.filter(F.col("length") < size).select(F.col(uid).alias("uid"), "length"), 0, []
     count = pool.count()
     while count:
         blocks = -(-count // block_items)
@@ -207,7 +210,7 @@ def pack(cut: DataFrame, size: int = 2048, block_items: int = 6000, islands: int
     out = [*cut.columns, "sequence_id", "offset"]
     if not done:
         return whole.select(*out)
-    return named.join(done[0], "uid").select(*out).unionByName(whole.select(*out))
+    return named.join(done[0].withColumnRenamed("uid", uid), uid).select(*out).unionByName(whole.select(*out))
 
 
 def packed_documents(docs: DataFrame, size: int = 2048, end_id: int = 0, path: str | None = None, with_ids: bool = False, **how) -> DataFrame:

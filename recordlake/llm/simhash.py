@@ -50,12 +50,11 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for every row; ``fp`` holds the 64 bits as a signed long."""
-    def run(text: bytes) -> tuple[int]:
-        v = fingerprint(text, shingle)
-        return (v - (1 << 64) if v >> 63 else v,)
+    """(doc_id, fp, text_hash) for every row; ``fp`` holds the 64 bits as a signed long, ``text_hash`` equals Spark's xxhash64."""
+    def run(text: bytes) -> tuple[int, int]:
+        return tuple(v - (1 << 64) if v >> 63 else v for v in (fingerprint(text, shingle), xxhash.xxh64_intdigest(text, 42)))
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(per_text(run, "fp long"), "doc_id long, fp long")
+    return id_and_text(docs, id_col, text_col).mapInArrow(per_text(run, "fp long, text_hash long"), "doc_id long, fp long, text_hash long")
 
 
 def syndromes() -> np.ndarray:
@@ -155,7 +154,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bucket: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``; component_id is the smallest doc_id of the component.
+    """(doc_id, fp, text_hash, component_id, component_fp) for every row of ``docs``.
+
+    component_id is the smallest doc_id of the component, component_fp one of its fingerprints, which tells components apart.
 
     A null or empty text, or one without words, has fingerprint 0. Null ids take part, but are never a component's id unless all its
     ids are null. Repeated rows stay; rows with one id and several texts are several members. An empty table gives an empty one.
@@ -165,8 +166,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bucket: int = 64, id_
     roots = components(links(distinct, max_bucket)).select(F.col("node").alias("fp"), "root")
     rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(ids, "root").select("fp", "component_id", F.col("root").alias("component_fp"))
+    return prints.join(named, "fp").select("doc_id", "fp", "text_hash", "component_id", "component_fp")
 
 
 def hex_print(fp) -> "F.Column":
@@ -174,12 +175,15 @@ def hex_print(fp) -> "F.Column":
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bucket: int = 64) -> DataFrame:
-    """The document with the smallest id of every component, with all its columns. Of rows with this id one row stays.
+    """The document with the smallest id of every component, with all its columns.
 
-    A component all of whose ids are null keeps one row; an empty table stays empty.
+    If that id has several texts in the component, the one with the smallest hash stays, and of rows equal in id and text one stays.
+    Ids that are null in all rows of a component count as its smallest. An empty table stays empty.
     """
-    found = near_duplicates(docs, shingle, max_bucket)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    name = fresh(docs.columns, "kept_id")
-    kept = docs.join(keep.select(F.col("doc_id").alias(name)), F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    found = near_duplicates(docs, shingle, max_bucket).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = found.groupBy("doc_id", "component_fp").agg(F.min("text_hash").alias("text_hash"))
+    names = [fresh(docs.columns, n) for n in ("kept_id", "kept_hash")]
+    keep = keep.select("doc_id", "text_hash").distinct().toDF(*names)
+    same_text = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col(names[1])
+    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(names[0])) & same_text, "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])

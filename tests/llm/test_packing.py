@@ -48,8 +48,8 @@ def test_documents(spark):
 def test_few_sequences(spark, lengths):
     rng = random.Random(2)
     lengths = [min(2048, int(rng.lognormvariate(5.5, 1.2)) + 1) for _ in range(4000)] if lengths == "mixed" else lengths
-    got = packing.pack(spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "k int, length long"), block_items=700).collect()
-    assert sorted(r.k for r in got) == list(range(len(lengths)))
+    got = packing.pack(spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "uid int, length long"), block_items=700).collect()
+    assert sorted(r.uid for r in got) == list(range(len(lengths)))
     best = -(-len(lengths) // (2048 // lengths[0])) if len(set(lengths)) == 1 else -(-sum(lengths) // 2048)
     assert check_sequences(got, 2048) <= best * 1.003 + 1
 

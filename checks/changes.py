@@ -276,34 +276,57 @@ def batch_tables(spark, answers):
     return tables
 
 
-_JUDGED = f"""(SELECT u.record_id, u.k, coalesce(i.n, 0) + CASE WHEN m.m > 0 THEN 1 ELSE 0 END AS issues,
-  CASE WHEN i.bad > 0 THEN 'VALIDATION_FAILED' WHEN i.n > 0 OR m.m > 0 THEN 'REVIEW_REQUIRED' ELSE 'READY_FOR_APPROVAL' END AS document_status FROM {_USABLE} u
-JOIN (SELECT record_id, CASE WHEN coalesce(village, '') <> '' THEN count(*) OVER (PARTITION BY lower(survey_number), lower(village)) - 1 ELSE 0 END AS m FROM {_USABLE}) m USING (record_id)
-LEFT JOIN (SELECT record_id, count(*) AS n, count(*) FILTER (severity = 'ERROR') AS bad FROM r_issues GROUP BY 1) i USING (record_id))"""
+_RIGHT = "(k % 53 <> 0 AND k % 59 <> 0)"
+_JUDGED = f"""(SELECT u.*, coalesce(i.n, 0) + CASE WHEN m.m > 0 THEN 1 ELSE 0 END AS issues, m.m,
+  CASE WHEN i.bad > 0 THEN 'VALIDATION_FAILED' WHEN i.n > 0 OR m.m > 0 THEN 'REVIEW_REQUIRED' ELSE 'READY_FOR_APPROVAL' END AS document_status FROM n_records u
+JOIN (SELECT record_id, CASE WHEN coalesce(village, '') <> '' THEN count(*) OVER (PARTITION BY lower(survey_number), lower(village)) - 1 ELSE 0 END AS m FROM n_records WHERE {_RIGHT}) m USING (record_id)
+LEFT JOIN (SELECT record_id, count(*) AS n, count(*) FILTER (severity = 'ERROR') AS bad FROM r_issues GROUP BY 1) i USING (record_id) WHERE {_RIGHT})"""
+_PARCEL = "concat_ws('|', coalesce(owner_name, ''), coalesce(survey_number, ''), coalesce(village, ''), coalesce(tehsil, ''), coalesce(district, ''), coalesce(area_unit, ''))"
 
 
 @check("l4_persist_results", f"""
-SELECT 'land_records' AS name, CASE WHEN document_status = 'READY_FOR_APPROVAL' THEN document_status ELSE 'REVIEW_REQUIRED' END AS value, count(*) AS n FROM {_JUDGED} GROUP BY 2
-UNION ALL SELECT 'documents', coalesce(document_status, 'PROCESSING'), count(*) FROM (SELECT record_id FROM n_records WHERE k % 4 <> 1) LEFT JOIN {_JUDGED} USING (record_id) GROUP BY 2
-UNION ALL SELECT 'processing_jobs', CASE WHEN document_status IS NULL THEN 'RUNNING' ELSE 'SUCCEEDED' END, count(*) FROM (SELECT record_id FROM n_records WHERE k % 4 <> 1) LEFT JOIN {_JUDGED} USING (record_id) GROUP BY 2
-UNION ALL SELECT 'ocr_results', 'NULL', count(*) FROM {_JUDGED}
-UNION ALL SELECT 'extracted_fields', 'NULL', count(*) * 14 FROM {_JUDGED}
-UNION ALL SELECT 'validation_results', 'NULL', CAST(sum(issues) AS BIGINT) FROM {_JUDGED}
-UNION ALL SELECT 'review_tasks', CASE WHEN document_status = 'VALIDATION_FAILED' THEN 'HIGH' ELSE 'MEDIUM' END, count(*) FROM {_JUDGED} WHERE document_status <> 'READY_FOR_APPROVAL' GROUP BY 2
-UNION ALL SELECT 'audit_logs', 'PROCESSING_COMPLETED', count(*) FROM {_JUDGED}
-UNION ALL SELECT 'audit_logs', 'REVIEW_CREATED', count(*) FROM {_JUDGED} WHERE document_status <> 'READY_FOR_APPROVAL'
-UNION ALL SELECT 'failures', error_code, count(*) FROM (SELECT CASE WHEN k % 59 = 0 THEN 'OCR_FAILED' ELSE 'PROVIDER_BAD_RESPONSE' END AS error_code FROM n_records WHERE k % 4 <> 1 AND (k % 53 = 0 OR k % 59 = 0)) GROUP BY 2""",
+SELECT 'land_records' AS name, record_id AS document, CASE WHEN document_status = 'READY_FOR_APPROVAL' THEN document_status ELSE 'REVIEW_REQUIRED' END || '|' || {_PARCEL} AS value FROM {_JUDGED}
+UNION ALL SELECT 'documents', n.record_id, coalesce(j.document_status, 'PROCESSING') FROM n_records n LEFT JOIN {_JUDGED} j USING (record_id)
+UNION ALL SELECT 'processing_jobs', n.record_id, CASE WHEN j.document_status IS NULL THEN 'RUNNING' ELSE 'SUCCEEDED' END FROM n_records n LEFT JOIN {_JUDGED} j USING (record_id)
+UNION ALL SELECT 'ocr_results', record_id, 'page of ' || record_id FROM {_JUDGED}
+UNION ALL SELECT 'extracted_fields', record_id, CAST(14 AS VARCHAR) FROM {_JUDGED}
+UNION ALL SELECT 'validation_results', record_id, concat_ws('|', rule_id, coalesce(field_name, ''), i.status, severity, message) FROM r_issues i JOIN n_records USING (record_id) WHERE {_RIGHT}
+UNION ALL SELECT 'validation_results', record_id, 'DUP_CANDIDATE_001|survey_number|REVIEW_REQUIRED|WARNING|survey_number: ''' || survey_number || ''' of ''' || village || ''' is also in ' || CAST(m AS VARCHAR)
+  || ' other record(s); a parcel can be recorded twice for good reasons, so look at them before approval' FROM {_JUDGED} WHERE m > 0
+UNION ALL SELECT 'review_tasks', record_id, CASE WHEN document_status = 'VALIDATION_FAILED' THEN 'HIGH|PENDING|Automatic review: validation verdict BLOCKED (' ELSE 'MEDIUM|PENDING|Automatic review: validation verdict REVIEW_REQUIRED (' END
+  || CAST(issues AS VARCHAR) || ' issue(s))' FROM {_JUDGED} WHERE document_status <> 'READY_FOR_APPROVAL'
+UNION ALL SELECT 'audit_logs', record_id, 'PROCESSING_COMPLETED|document|u1' FROM {_JUDGED}
+UNION ALL SELECT 'audit_logs', record_id, 'REVIEW_CREATED|land_record|u1' FROM {_JUDGED} WHERE document_status <> 'READY_FOR_APPROVAL'
+UNION ALL SELECT 'failures', record_id, CASE WHEN k % 59 = 0 THEN 'OCR_FAILED' ELSE 'PROVIDER_BAD_RESPONSE' END FROM n_records WHERE NOT {_RIGHT}""",
        "n_records r_issues")
 def _(spark, d):
-    pages, answers, _ = _arrivals(spark, d)
-    tables = process.process_batch(pages, answers, v.reference(spark, d), batch_tables(spark, answers), NOW, scratch(spark, "batch"))
-    column = {"land_records": "status", "documents": "processing_status", "processing_jobs": "status", "ocr_results": None, "extracted_fields": None,
-              "validation_results": None, "review_tasks": "priority", "audit_logs": "action", "failures": "error_code"}
-    out = None
-    for name, by in column.items():
-        value = F.col(by) if by else F.lit("NULL")
-        part = tables[name].groupBy(value.alias("value")).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "value", "n")
-        out = part if out is None else out.unionByName(part)
+    answers = raw_responses(spark, d)
+    tables = process.process_batch(_pages(answers), answers, v.reference(spark, d), batch_tables(spark, answers), NOW, scratch(spark, "batch"))
+    owner = tables["land_records"].select(F.col("record_id").alias("_record"), F.col("document_id").alias("_document"))
+
+    def text(*columns: str):
+        return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+
+    def of_record(name: str, key: str, value):
+        return tables[name].withColumn("value", value).join(owner, F.col(key) == F.col("_record")).select(F.lit(name).alias("name"), F.col("_document").alias("document"), "value")
+
+    def of_document(name: str, key: str, value):
+        return tables[name].select(F.lit(name).alias("name"), F.col(key).alias("document"), value.alias("value"))
+
+    audit = tables["audit_logs"].join(owner, F.col("entity_id") == F.col("_record"), "left")
+    parts = [
+        of_document("land_records", "document_id", text("status", "owner_name", "survey_number", "village", "tehsil", "district", "area_unit")),
+        of_document("documents", "id", F.col("processing_status")), of_document("processing_jobs", "document_id", F.col("status")),
+        of_document("ocr_results", "document_id", F.col("text")),
+        of_record("extracted_fields", "record_id", F.lit("x")).groupBy("name", "document").agg(F.count("*").cast("string").alias("value")),
+        of_record("validation_results", "record_id", text("rule_id", "field_name", "status", "severity", "message")),
+        of_record("review_tasks", "land_record_id", text("priority", "status", "reason")),
+        audit.select(F.lit("audit_logs").alias("name"), F.coalesce("_document", "entity_id").alias("document"), text("action", "entity_type", "user_id").alias("value")),
+        of_document("failures", "document_id", F.col("error_code")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
@@ -414,7 +437,6 @@ def _(spark, d):
 # Three arrivals: everything, then every sixth document again by two jobs, then every tenth again.
 _ROUNDS = """(SELECT record_id, k, survey_number, village, 0 AS n FROM n_records UNION ALL SELECT record_id, k, survey_number, village, 1 FROM n_records WHERE k % 6 = 0
 UNION ALL SELECT record_id, k, survey_number, village, 2 FROM n_records WHERE k % 10 = 0)"""
-_RIGHT = "(k % 53 <> 0 AND k % 59 <> 0)"
 
 
 @check("st1_incremental", f"""

@@ -313,8 +313,11 @@ def _finish(records: DataFrame, done: DataFrame, values: dict[str, Column]) -> D
     ])
 
 
-def reject(records: DataFrame, tasks: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(records, tasks, outcomes, audit): rejecting a record cancels its open reviews."""
+def reject(records: DataFrame, tasks: DataFrame, commands: DataFrame, part_rows: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(records, tasks, outcomes, audit): rejecting a record cancels its open reviews.
+
+    The audit row lists the cancelled reviews; more than ``part_rows`` of them continue in further rows.
+    """
     reasoned = commands.filter(~is_blank(F.col("reason")))
     silent = commands.filter(is_blank(F.col("reason"))).withColumn("code", F.lit("REJECTION_REASON_REQUIRED"))
     states = records.select("record_id", F.col("status").alias("_status"))
@@ -330,10 +333,11 @@ def reject(records: DataFrame, tasks: DataFrame, commands: DataFrame) -> tuple[D
         done.select(F.col("record_id").alias("land_record_id"), "_at"), "land_record_id"
     )
     new_tasks = _close_tasks(tasks, open_rows.select("id", "_at"), "CANCELLED")
-    # A record has at most one open review by rule; the list only grows past that where the rule was broken.
-    cancelled = open_rows.groupBy(F.col("land_record_id").alias("record_id")).agg(F.array_sort(F.collect_set("id")).alias("_ids"))
+    numbered = skew.in_parts(open_rows.select(F.col("land_record_id").alias("record_id"), "id").distinct(), ["record_id"], part_rows, "_part")
+    cancelled = numbered.groupBy("record_id", "_part").agg(F.array_sort(F.collect_list("id")).alias("_ids"))
+    command = F.when(F.coalesce("_part", F.lit(0)) == 0, F.col("seq").cast("string")).otherwise(F.concat_ws(":", "seq", "_part"))
     audit = done.join(cancelled, "record_id", "left").select(*audit_row(
-        "RECORD_REJECTED", "land_record", F.col("record_id"), F.col("user_id"), F.col("_at"), F.col("seq"),
+        "RECORD_REJECTED", "land_record", F.col("record_id"), F.col("user_id"), F.col("_at"), command,
         old=_json(status=F.col("_old")), new=_json(status=F.lit("REJECTED")),
         metadata=_json(reason=strip(F.col("reason")), cancelled_reviews=F.coalesce("_ids", F.array().cast("array<string>"))),
     ))
@@ -358,7 +362,7 @@ def persistence_codes(batch: DataFrame, tables: dict[str, DataFrame]) -> DataFra
     actor_missing = F.lit(False)
     if "users" in tables:
         users = tables["users"].select(F.col("id").alias("user_id")).distinct().withColumn("_user", F.lit(True))
-        staged = skew.lookup(staged, users, "user_id", skew.is_small(users))
+        staged = staged.join(users, "user_id", "left")
         actor_missing = F.col("_user").isNull()
     code = (
         F.when(F.col("job_id").isNull() | F.col("document_id").isNull() | F.col("user_id").isNull(), F.lit("22023"))

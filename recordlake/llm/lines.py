@@ -46,8 +46,12 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col
     ranged = hashed.repartitionByRange(*order).sortWithinPartitions(*order, "text_hash", "pos")
     first = F.row_number().over(W.partitionBy("h1", "h2", "doc_id").orderBy("text_hash", "pos")) == 1
     firsts = ranged.select("h1", "h2", "doc_id", first.alias("is_first")).filter("is_first")
-    often = firsts.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).filter(F.col("n") >= min_docs).select("h1", "h2", "last")
-    lost = ranged.join(often, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("last")))
+    often = firsts.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).filter(F.col("n") >= min_docs)
+    # The keys of the join differ from those of the counts, so both sides are dealt anew by it and the rows of a hot line can be
+    # split over several tasks; the side of the counts has a row for each frequent line only.
+    other = {"k1": F.bitwise_not("h1"), "k2": F.bitwise_not("h2")}
+    often = often.select(*[c.alias(n) for n, c in other.items()], "last")
+    lost = ranged.withColumns(other).join(often, ["k1", "k2"]).filter(~F.col("doc_id").eqNullSafe(F.col("last")))
     words = (lost.groupBy("doc_id", "text_hash", F.expr("pos div 64").cast("int").alias("word"))
              .agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("gone")))
     return words.groupBy("doc_id", "text_hash").agg(

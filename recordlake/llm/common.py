@@ -19,6 +19,8 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: Words hashed at once; a longer text is cut into overlapping segments.
 WORDS_AT_ONCE = 1 << 16
+#: Bytes of rows that reach a Python task in one Arrow batch.
+BATCH_BYTES = 8 << 20
 #: Bytes of text that a Python task works on at once; one longer text makes a piece of its own.
 PIECE_BYTES = 1 << 20
 
@@ -27,6 +29,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches hold few texts, so that an executor's memory does not depend on how long texts are on average."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text as UTF-8 bytes); a null text is an empty one. Other columns are not read."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))

@@ -7,10 +7,9 @@ occur in several documents matter, so the graph is never built whole:
    windows mostly share theirs, so a text has about 2 / (k - m + 2) of them per word. Minimizers seen in several documents are
    marked in a bitmap of fixed size. A window whose minimizer is not marked occurs in one document only.
 2. The other windows, the candidate edges, are gathered over all documents: each belongs to the document with the least id that has
-   it, its owner, and keeps its place there and the last document that has it. Tasks send an edge once, so an edge that is
-   everywhere costs one row per task.
-3. Edges that follow each other in their owner and end up in the same last document do not branch; they compact into paths with the
-   owner's coordinates, a repeated passage for each path whose last document is not its owner.
+   it, its owner, and keeps its place there. Tasks send an edge once, so an edge that is everywhere costs one row per task.
+3. Edges that follow each other in their owner compact into paths with the owner's coordinates. Asked for the repeated passages
+   themselves, a path also ends where edges that other documents share give way to others.
 4. Paths are joined to the documents by owner. In a document, candidate edges that none of its own paths holds start in an earlier
    document too; runs of them are the spans whose words go.
 
@@ -66,8 +65,11 @@ def candidates(hashes: np.ndarray, at: np.ndarray, k: int, m: int, bits: np.ndar
     return which, rolled(hashes, k)[at[which]]
 
 
-def edges(rows: DataFrame, k: int, m: int, bits) -> DataFrame:
-    """(edge, owner, place, last): the candidate edges of ``rows(doc_id, text)``, each with the first and the last document it starts in."""
+def edges(rows: DataFrame, k: int, m: int, bits, shared: bool = False) -> DataFrame:
+    """(edge, owner, place[, repeated]): the candidate edges of ``rows(doc_id, text)``, each with the first document it starts in.
+
+    With ``shared`` also whether another document has it.
+    """
     def run(batches):
         for piece in pieces(batches):
             ids = piece.column("doc_id").to_numpy(zero_copy_only=False)
@@ -80,29 +82,33 @@ def edges(rows: DataFrame, k: int, m: int, bits) -> DataFrame:
                 found, of, place = found[order], of[order], place[order]
                 new = found[1:] != found[:-1]
                 first, last = np.flatnonzero(np.concatenate(([True], new))[:len(found)]), np.flatnonzero(np.concatenate((new, [True]))[:len(found)])
-                yield pa.RecordBatch.from_arrays([pa.array(found[first].view(np.int64)), pa.array(of[first]), pa.array(of[last]), pa.array(place[first].astype(np.int32))],
-                                                 ["edge", "first_doc", "last_doc", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(found[first].view(np.int64)), pa.array(of[first]), pa.array(of[first] < of[last]), pa.array(place[first].astype(np.int32))],
+                                                 ["edge", "doc", "several", "place"])
 
-    sent = rows.mapInArrow(run, "edge long, first_doc long, last_doc long, place int")
-    return sent.groupBy("edge").agg(F.min("first_doc").alias("owner"), F.min_by("place", "first_doc").alias("place"), F.max("last_doc").alias("last"))
+    sent = rows.mapInArrow(run, "edge long, doc long, several boolean, place int")
+    repeated = [(F.max("several") | (F.min("doc") < F.max("doc"))).alias("repeated")] if shared else []
+    return sent.groupBy("edge").agg(F.min("doc").alias("owner"), F.min_by("place", "doc").alias("place"), *repeated)
 
 
 def paths(found: DataFrame) -> DataFrame:
-    """(owner, start, last, edges): maximal runs of ``edges`` that follow each other in their owner and share the last document."""
+    """(owner, start, edges[, repeated]): maximal runs of ``edges`` that follow each other in their owner, all repeated or all not."""
     along = Window.partitionBy("owner").orderBy("place")
-    follows = (F.col("place") - F.lag("place").over(along) <= 1) & (F.col("last") == F.lag("last").over(along))
+    follows = F.col("place") - F.lag("place").over(along) <= 1
+    kind = [c for c in ("repeated",) if c in found.columns]
+    for c in kind:
+        follows = follows & (F.col(c) == F.lag(c).over(along))
     # Rows of one id with different texts can have two edges at one place; both stay.
     number = F.sum(F.when(F.coalesce(F.col("follows"), F.lit(False)), 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     numbered = found.withColumn("follows", follows).withColumn("path", number)
-    return numbered.groupBy("owner", "path").agg(F.min("place").alias("start"), F.first("last").alias("last"), F.collect_list("edge").alias("edges")).drop("path")
+    return numbered.groupBy("owner", "path").agg(F.min("place").alias("start"), F.collect_list("edge").alias("edges"), *[F.first(c).alias(c) for c in kind]).drop("path")
 
 
 def repeated_passages(docs: DataFrame, k: int = 13, m: int = 5, log_bits: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(owner, start, n_words, last): the compacted paths that occur in several documents, at their place in the first of them."""
+    """(owner, start, n_words): the compacted paths whose windows occur in several documents, at their place in the first of them."""
     rows = keyed(docs, id_col, text_col).select("doc_id", "text")
     bits = docs.sparkSession.sparkContext.broadcast(marked_minimizers(rows, k, m, log_bits))
-    found = paths(edges(rows, k, m, bits)).filter("owner <> last")
-    return found.select(real_id(F.col("owner")).alias("owner"), "start", (F.size("edges") + k - 1).alias("n_words"), real_id(F.col("last")).alias("last"))
+    found = paths(edges(rows, k, m, bits, shared=True)).filter("repeated")
+    return found.select(real_id(F.col("owner")).alias("owner"), "start", (F.size("edges") + k - 1).alias("n_words"))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -371,6 +371,20 @@ def _(spark, d):
     return rows.select("id", "field_name", distance.similarity(compare_key(F.col("expected")), compare_key(F.col("got"))).alias("ratio"))
 
 
+def reversed_ratios(spark, d):
+    """(conv_id, turn, ratio) for every row of conversations: its text against the reverse. No SQL has this ratio; a test computes it by brute force."""
+    text = compare_key(F.col("text"))
+    return v.table(spark, d, "conversations").select("conv_id", "turn", distance.similarity(text, F.reverse(text)).alias("ratio"))
+
+
+# Every row of conversations, whole texts, against itself with something appended: all of the text matches.
+@check("n30_similarity_appended", """SELECT conv_id, turn, 2 * n / (2 * n + 7) AS ratio
+  FROM (SELECT conv_id, turn, length(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS n FROM conversations)""")
+def _(spark, d):
+    text = compare_key(F.col("text"))
+    return v.table(spark, d, "conversations").select("conv_id", "turn", distance.similarity(text, F.concat(text, F.lit(" § more"))).alias("ratio"))
+
+
 @check("a8_evaluate_documents", f"""
 SELECT id, count(*) FILTER (verdict = 'CORRECT') AS correct, count(*) FILTER (verdict = 'INCORRECT') AS incorrect, count(*) FILTER (verdict = 'MISSING') AS missing,
   count(*) FILTER (verdict = 'HALLUCINATED') AS hallucinated, count(*) FILTER (verdict = 'PARTIALLY_CORRECT') AS partially_correct, count(*) AS fields,

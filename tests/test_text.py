@@ -129,3 +129,34 @@ def test_errors(spark):
     rows = [("ERROR:  22008: out of range", 422), ("23505 duplicate key", 409), ("57P01 shutdown", 503), ("request timed out", 503), ("oops", 500)]
     df = spark.createDataFrame(rows, "m string, want int")
     assert all(r[0] == r[1] for r in df.select(labels.classify_error(labels.extract_sqlstate(F.col("m")), F.col("m"))["http_status"], "want").collect())
+
+
+def slow_matched(a, b, popular):
+    """Characters that Ratcliff/Obershelp matches, by the longest block of all pairs of places; a popular character only extends a block."""
+    best = (0, 0, 0)
+    run = {}
+    for i, x in enumerate(a):
+        run = {j: run.get(j - 1, 0) + 1 for j, y in enumerate(b) if x == y and y not in popular}
+        for j, n in run.items():
+            if n > best[2]:
+                best = (i - n + 1, j - n + 1, n)
+    i, j, n = best
+    while i and j and a[i - 1] == b[j - 1]:
+        i, j, n = i - 1, j - 1, n + 1
+    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+        n += 1
+    return n and n + slow_matched(a[:i], b[:j], popular) + slow_matched(a[i + n:], b[j + n:], popular)
+
+
+def test_ratio_of_whole_conversations_equals_brute_force(spark):
+    from checks.language import reversed_ratios
+
+    small = "/root/testdata/sf0.001"
+    texts = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{small}/conversations.parquet").collect()}
+    got = {(r.conv_id, r.turn): r.ratio for r in reversed_ratios(spark, small).collect()}
+    assert set(got) == set(texts) and len(texts) > 80
+    for key, text in texts.items():
+        a = " ".join((text or "").split()).lower()
+        b = a[::-1]
+        popular = {c for c in set(b) if len(b) >= 200 and b.count(c) > len(b) // 100 + 1}
+        assert got[key] == pytest.approx(2 * slow_matched(a, b, popular) / (2 * len(a)) if a else 1.0)

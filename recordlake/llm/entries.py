@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, lines, packing, quality, repeats, simhash, tokens, winnow
+from . import chat, decontaminate, importance, language, licenses, lines, packing, quality, repeats, simhash, tokens, vector_codes, winnow
 from .common import bounded_batches, documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,22 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensemble = quality.learn(docs, labels, remainder("doc_id", 5) != 0)
     held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
     return quality.score(docs, ensemble).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+SQL["op13_chat"] = chat.SQL
+
+
+@query
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.formatted(chat.with_mark_texts(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))

@@ -201,6 +201,23 @@ def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def bit_table(hashes: DataFrame, column: str, log_bits: int = 26) -> DataFrame:
+    """(part, bits): a bitmap of ``2 ** log_bits`` bits (8 MB) in pieces of 4 KB, with the low bits of every hash of the column set."""
+    slot = F.col(column).bitwiseAND(F.lit((1 << log_bits) - 1))
+    parts = hashes.select(slot.alias("slot")).groupBy(F.expr("slot div 32768").alias("part")).agg(F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits"))
+    return stored(parts)
+
+
+def may_be_in(df: DataFrame, bits: DataFrame, column: str, inside: bool = True, log_bits: int = 26) -> DataFrame:
+    """The rows whose hash may be (or surely is not) among those of the bitmap, which is broadcast: its size is fixed."""
+    part, held, slot = (fresh(df.columns, n) for n in ("bit_part", "bit_bits", "bit_slot"))
+    placed = df.withColumn(slot, F.col(column).bitwiseAND(F.lit((1 << log_bits) - 1)))
+    both = placed.join(F.broadcast(bits.select(F.col("part").alias(part), F.col("bits").alias(held))), F.expr(f"`{slot}` div 32768") == F.col(part), "left")
+    octet = F.conv(F.hex(F.substring(held, ((F.col(slot) % 32768) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(F.lit(1) == F.getbit(octet, (F.col(slot) % 8).cast("int")), F.lit(False))
+    return both.filter(is_set if inside else ~is_set).select(*df.columns)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table written as Parquet below the folder of ``spark.checkpoint.dir`` and read again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"

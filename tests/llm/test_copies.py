@@ -2,36 +2,17 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from recordlake.llm import common, copies, language
 
+from .slow import slow_roots, slow_set
 from .test_decontaminate import slow as slow_leaks
 from .test_lines import BLANK, lowered
 from .test_pipeline import fixture
 
 
-def slow_set(text):
-    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (text or "")).encode().split()
-    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-
-def slow_roots(texts):
-    sets, parent = [slow_set(t) for t in texts], list(range(len(texts)))
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in range(len(sets)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if sets[i] == sets[j] or both * 5 >= 4 * (len(sets[i]) + len(sets[j]) - both):
-                a, b = sorted((find(i), find(j)))
-                parent[b] = a
-    return [find(i) for i in range(len(sets))]
-
-
 def edited(words, rng, edits, vocabulary):
     words = list(words)
     for _ in range(edits):
@@ -101,3 +82,37 @@ def test_pipeline_keeps_one_of_near_copies(spark, tmp_path):
     assert {201, 209} <= {i for i, _ in kept} - {i for i, _ in near}
     leaks = {r[0] for r in slow_leaks(near, items, 13, 2, 8) if r[1]}
     assert got == {i for i, _ in near} - leaks
+
+
+def template_pages():
+    """Pages that share most of their text: all pairs are just below the limit but for some pairs above it."""
+    rng = random.Random(9)
+    shared = ["t%d" % i for i in range(154)]
+    rows = [shared + ["p%d_%d" % (i, rng.randrange(10 ** 9)) for _ in range(23)] for i in range(400)]
+    for i in range(80):  # a partner that shares a third of the page's own words as well
+        rows.append(rows[i][:162] + ["q%d_%d" % (i, rng.randrange(10 ** 9)) for _ in range(15)])
+    rng.shuffle(rows)
+    return [(i, " ".join(r)) for i, r in enumerate(rows)]
+
+
+def test_pairs_on_one_template_are_found(spark):
+    rows = template_pages()
+    roots = slow_roots([t for _, t in rows])
+    found = copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(roots)) and len(set(roots)) == 400
+
+
+def test_small_buckets_go_by_pivots(spark):
+    rows = corpus()
+    found = copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), max_bucket=2).collect()
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(slow_roots([t for _, t in rows])))
+
+
+def test_bitmap_of_rows(spark):
+    df = spark.range(0, 5000).select("id", F.xxhash64("id").alias("h"))
+    bits = common.bit_table(df.filter("id % 10 = 0"), "h")
+    inside = {r.id for r in common.may_be_in(df, bits, "h").collect()}
+    outside = {r.id for r in common.may_be_in(df, bits, "h", inside=False).collect()}
+    assert inside >= set(range(0, 5000, 10)) and len(inside) < 520 and inside | outside == set(range(5000)) and not inside & outside
+    none = common.bit_table(df.filter("id < 0"), "h")
+    assert common.may_be_in(df, none, "h").count() == 0 and common.may_be_in(df, none, "h", inside=False).count() == 5000

@@ -11,7 +11,7 @@ from recordlake.llm import common, language
 from .test_decontaminate import slow as slow_leaks
 from .test_lines import BLANK, lowered
 from .test_packing import check_sequences
-from .test_simhash import slow_components, slow_print
+from .slow import slow_roots
 
 
 def fixture():
@@ -51,11 +51,8 @@ def test_run_equals_brute_force(spark, tmp_path):
     often = {k: max(v) for k, v in held.items() if len(k) >= 40 and len(v) >= 5}
     assert len(often) >= 4
     kept = [(i, "\n".join(x for x in t.split("\n") if often.get(lowered(x.strip(BLANK)), i) == i)) for i, t in kept]
-    roots = slow_components([slow_print(t) for _, t in kept])
-    first = {}
-    for (i, _), r in zip(kept, roots):
-        first[r] = min(first.get(r, i), i)
-    kept = [(i, t) for (i, t), r in zip(kept, roots) if first[r] == i]
+    roots = slow_roots([t for _, t in kept])  # near copies: five-word shingles, similarity 0.8
+    kept = [(i, t) for n, (i, t) in enumerate(kept) if roots[n] == n]
     leaks = {r[0] for r in slow_leaks(kept, items, 13, 2, 8) if r[1]}
     kept = [(i, t) for i, t in kept if i not in leaks]
     assert len(leaks) >= 5 and len(kept) > 100

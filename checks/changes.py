@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
@@ -10,22 +9,16 @@ from pyspark.sql import functions as F
 from recordlake.functions.text import compare_key
 from recordlake.operators import state
 from recordlake.plans import evaluate, process
-from recordlake.operators.skew import shared_folder
 from recordlake.streaming import jobs as streams
 
 from . import views as v
 from .language import raw_responses
-from .registry import check
+from .registry import check, scratch
 from .tables import _SQL_DOCS, documents
 
 NOW = datetime(2001, 1, 1, tzinfo=timezone.utc)
 
 
-def scratch(spark, name: str) -> str:
-    """A fresh folder that all executors can reach."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def _requests(spark, d, key: str):
     e = v.table(spark, d, "events")
     return e.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias(key), F.lit("u1").alias("user_id"), F.col("ts").cast("timestamp").alias("at"))
@@ -284,7 +277,7 @@ LEFT JOIN (SELECT record_id, count(*) AS n, count(*) FILTER (severity = 'ERROR')
 _PARCEL = "concat_ws('|', coalesce(owner_name, ''), coalesce(survey_number, ''), coalesce(village, ''), coalesce(tehsil, ''), coalesce(district, ''), coalesce(area_unit, ''))"
 
 
-@check("l4_persist_results", f"""
+_STORED = f"""
 SELECT 'land_records' AS name, record_id AS document, CASE WHEN document_status = 'READY_FOR_APPROVAL' THEN document_status ELSE 'REVIEW_REQUIRED' END || '|' || {_PARCEL} AS value FROM {_JUDGED}
 UNION ALL SELECT 'documents', n.record_id, coalesce(j.document_status, 'PROCESSING') FROM n_records n LEFT JOIN {_JUDGED} j USING (record_id)
 UNION ALL SELECT 'processing_jobs', n.record_id, CASE WHEN j.document_status IS NULL THEN 'RUNNING' ELSE 'SUCCEEDED' END FROM n_records n LEFT JOIN {_JUDGED} j USING (record_id)
@@ -297,11 +290,26 @@ UNION ALL SELECT 'review_tasks', record_id, CASE WHEN document_status = 'VALIDAT
   || CAST(issues AS VARCHAR) || ' issue(s))' FROM {_JUDGED} WHERE document_status <> 'READY_FOR_APPROVAL'
 UNION ALL SELECT 'audit_logs', record_id, 'PROCESSING_COMPLETED|document|u1' FROM {_JUDGED}
 UNION ALL SELECT 'audit_logs', record_id, 'REVIEW_CREATED|land_record|u1' FROM {_JUDGED} WHERE document_status <> 'READY_FOR_APPROVAL'
-UNION ALL SELECT 'failures', record_id, CASE WHEN k % 59 = 0 THEN 'OCR_FAILED' ELSE 'PROVIDER_BAD_RESPONSE' END FROM n_records WHERE NOT {_RIGHT}""",
-       "n_records r_issues")
+UNION ALL SELECT 'failures', record_id, CASE WHEN k % 59 = 0 THEN 'OCR_FAILED' ELSE 'PROVIDER_BAD_RESPONSE' END FROM n_records WHERE NOT {_RIGHT}"""
+
+
+@check("l4_persist_results", _STORED, "n_records r_issues")
 def _(spark, d):
     answers = raw_responses(spark, d)
-    tables = process.process_batch(_pages(answers), answers, v.reference(spark, d), batch_tables(spark, answers), NOW, scratch(spark, "batch"))
+    return stored_facts(process.process_batch(_pages(answers), answers, v.reference(spark, d), batch_tables(spark, answers), NOW, scratch(spark, "batch")))
+
+
+@check("l4_persist_touched", _STORED, "n_records r_issues")
+def _(spark, d):
+    answers, folder = raw_responses(spark, d), scratch(spark, "tables")
+    tables = process.create_tables(spark, folder, batch_tables(spark, answers), 8)
+    _, failures = process.process_touched(_pages(answers), answers, v.reference(spark, d), tables, f"{folder}/audit_logs", NOW, scratch(spark, "batch"))
+    audit = spark.read.parquet(f"{folder}/audit_logs")
+    return stored_facts({n: t.read() for n, t in tables.items()} | {"audit_logs": audit, "failures": failures})
+
+
+def stored_facts(tables):
+    """The content of all tables as (name, document, value)."""
     owner = tables["land_records"].select(F.col("record_id").alias("_record"), F.col("document_id").alias("_document"))
 
     def text(*columns: str):

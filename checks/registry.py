@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from recordlake.operators.skew import shared_folder
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -42,3 +45,8 @@ def with_views(names: str, sql: str) -> str:
     if not needed:
         return sql
     return "WITH " + ",\n".join(f"{n} AS ({SQL_VIEWS[n][1]})" for n in needed) + "\n" + sql
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all executors can reach."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

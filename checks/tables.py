@@ -13,10 +13,11 @@ from recordlake.operators import aggregates as agg
 from recordlake.operators import joins, search, windows
 from recordlake.plans import process, reports
 from recordlake.sources import readers, sinks
+from recordlake.sources.keyed import KeyedTable
 
 from . import views as v
 from .records import judged
-from .registry import check
+from .registry import check, scratch
 
 NOW = datetime(2001, 1, 1, tzinfo=timezone.utc)
 
@@ -94,25 +95,54 @@ def _(spark, d):
     return e.select("event_id", F.inline(readers.decode_payload(rows, "array<struct<k:int>>")))
 
 
-@check("s9_replace_by_key", """
+_REPLACED = """
 SELECT record_id, rule_id, message FROM v_issues WHERE CAST(record_id AS BIGINT) % 5 <> 0
-UNION ALL SELECT record_id, 'RECHECKED', 'again' FROM (SELECT DISTINCT record_id FROM v_issues WHERE CAST(record_id AS BIGINT) % 5 = 0)""", "v_issues")
-def _(spark, d):
+UNION ALL SELECT record_id, 'RECHECKED', 'again' FROM (SELECT DISTINCT record_id FROM v_issues WHERE CAST(record_id AS BIGINT) % 5 = 0)"""
+
+
+def _replacement(spark, d):
     target = v.issues(spark, d).select("record_id", "rule_id", "message")
-    new = target.filter(F.col("record_id").cast("long") % 5 == 0).select("record_id").distinct().select(
+    return target, target.filter(F.col("record_id").cast("long") % 5 == 0).select("record_id").distinct().select(
         "record_id", F.lit("RECHECKED").alias("rule_id"), F.lit("again").alias("message"))
-    return sinks.replace_by_key(target, new, "record_id")
 
 
-@check("s10_upsert", """
-SELECT record_id, CASE WHEN k % 4 = 0 THEN 'DRAFT' ELSE status END AS status, CASE WHEN k % 4 = 0 AND k % 3 = 0 THEN 'new' ELSE owner_name END AS owner_name
-FROM v_records""", "v_records")
+@check("s9_replace_by_key", _REPLACED, "v_issues")
 def _(spark, d):
+    return sinks.replace_by_key(*_replacement(spark, d), "record_id")
+
+
+@check("s9_replace_touched", _REPLACED, "v_issues")
+def _(spark, d):
+    target, new = _replacement(spark, d)
+    table = KeyedTable(spark, scratch(spark, "issues"), "record_id", 16).create(target)
+    table.replace(new)
+    return table.read()
+
+
+_UPSERTED = """
+SELECT record_id, CASE WHEN k % 4 = 0 THEN 'DRAFT' ELSE status END AS status, CASE WHEN k % 4 = 0 AND k % 3 = 0 THEN 'new' ELSE owner_name END AS owner_name
+FROM v_records"""
+
+
+def _updates(spark, d):
     k = F.col("record_id").cast("long")
     rows = v.records(spark, d).select("record_id", "status", "owner_name")
     # Every fourth record is updated; of those, every third is not on file yet.
     updates = rows.filter(k % 4 == 0).select("record_id", F.lit("DRAFT").alias("status"), F.lit("new").alias("owner_name"))
-    return sinks.upsert(rows.filter((k % 4 != 0) | (k % 3 != 0)), updates, "record_id", ["status"])
+    return rows.filter((k % 4 != 0) | (k % 3 != 0)), updates
+
+
+@check("s10_upsert", _UPSERTED, "v_records")
+def _(spark, d):
+    return sinks.upsert(*_updates(spark, d), "record_id", ["status"])
+
+
+@check("s10_upsert_touched", _UPSERTED, "v_records")
+def _(spark, d):
+    rows, updates = _updates(spark, d)
+    table = KeyedTable(spark, scratch(spark, "records"), "record_id", 16).create(rows)
+    table.upsert(updates, ["status"])
+    return table.read()
 
 
 _ALL_FIELDS = """(SELECT record_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS v FROM (

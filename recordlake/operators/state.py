@@ -384,7 +384,7 @@ def persistence_codes(batch: DataFrame, tables: dict[str, DataFrame]) -> DataFra
     )
 
 
-def persist_results(batch: DataFrame, tables: dict[str, DataFrame], now: datetime) -> dict[str, DataFrame]:
+def persist_results(batch: DataFrame, tables: dict[str, DataFrame], now: datetime, judged: DataFrame | None = None) -> dict[str, DataFrame]:
     """New versions of all tables after storing a batch, plus ``outcomes``.
 
     OCR pages, fields and findings of each stored document are replaced as a unit, the record is inserted or updated,
@@ -392,9 +392,10 @@ def persist_results(batch: DataFrame, tables: dict[str, DataFrame], now: datetim
     that already succeeded changes nothing.
 
     ``batch`` has, besides the columns of :func:`persistence_codes`: ``fields`` map, ``issues`` array, the typed
-    record columns and ``metadata`` map. Write the batch to a table before calling this: every result reads it.
+    record columns and ``metadata`` map. Write the batch to a table before calling this: every result reads it. ``judged`` is the
+    result of :func:`persistence_codes`, if it is stored already.
     """
-    judged = persistence_codes(batch, tables)
+    judged = persistence_codes(batch, tables) if judged is None else judged
     stored = judged.filter("code is null and not replayed")
     documents, records = stored.select("document_id"), stored.select("record_id")
     at = F.lit(now)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -17,8 +18,9 @@ from ..operators import duplicates, rules
 from ..operators.joins import with_missing
 from ..operators.ocr import page_lines, pages_text
 from ..operators.reference import Reference
-from ..operators.state import persist_results
+from ..operators.state import persist_results, persistence_codes
 from ..schemas import FIELD_NAMES, ISSUE
+from ..sources.keyed import KeyedTable
 
 
 def extract_with(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
@@ -91,6 +93,58 @@ def process_batch(ocr: DataFrame, responses: DataFrame, reference: Reference | N
     return out
 
 
+#: The key that each stored table is laid out by; the audit log is only added to.
+TABLE_KEYS = {
+    "documents": "id", "processing_jobs": "id", "land_records": "document_id", "ocr_results": "document_id",
+    "extracted_fields": "record_id", "validation_results": "record_id", "review_tasks": "land_record_id",
+}
+
+
+def create_tables(spark: SparkSession, folder: str, tables: dict[str, DataFrame], buckets: int = 256) -> dict[str, KeyedTable]:
+    """Write the tables of ``TABLE_KEYS`` laid out by their keys."""
+    return {name: KeyedTable(spark, f"{folder}/{name}", key, buckets).create(tables[name]) for name, key in TABLE_KEYS.items()}
+
+
+def persist_touched(batch: DataFrame, tables: dict[str, KeyedTable], audit_path: str, stage_path: str, now: datetime) -> DataFrame:
+    """Store a batch as :func:`persist_results` does, reading and writing only the partitions its keys fall into; returns the outcomes.
+
+    The new rows are written under ``stage_path`` first and then put in place, one table after the other. A run that broke off is
+    repeated with the same ``stage_path``: once the stage is complete its rows are put in place again, which changes nothing that was
+    done already. The audit rows of a batch are a folder of their own below ``audit_path``, named by the end of ``stage_path``.
+    """
+    from ..schemas import AUDIT
+
+    spark = batch.sparkSession
+    try:
+        plan = {r["name"]: r["buckets"] for r in spark.read.parquet(f"{stage_path}/plan").collect()}
+    except AnalysisException:  # the stage is not complete
+        of_key = {"documents": "document_id", "processing_jobs": "job_id", "land_records": "document_id", "ocr_results": "document_id"}
+        plan = {name: tables[name].touched(batch, column) for name, column in of_key.items()}
+        found = {name: tables[name].rows_of(plan[name]) for name in plan}
+        judged = stored_once(spark, persistence_codes(batch, found), f"{stage_path}/judged")
+        for name in TABLE_KEYS.keys() - plan.keys():
+            plan[name] = tables[name].touched(judged, "record_id")
+            found[name] = tables[name].rows_of(plan[name])
+        found["audit_logs"] = spark.createDataFrame([], AUDIT)
+        for name, rows in persist_results(batch, found, now, judged).items():
+            rows.write.mode("overwrite").parquet(f"{stage_path}/{name}")
+        spark.createDataFrame(list(plan.items()), "name string, buckets array<int>").write.mode("overwrite").parquet(f"{stage_path}/plan")
+    for name, buckets in plan.items():
+        tables[name].overwrite(spark.read.parquet(f"{stage_path}/{name}"), buckets)
+    audit = spark.read.parquet(f"{stage_path}/audit_logs")
+    audit.write.mode("overwrite").parquet(f"{audit_path}/batch={stage_path.rstrip('/').rsplit('/', 1)[-1]}")
+    return spark.read.parquet(f"{stage_path}/outcomes")
+
+
+def process_touched(ocr: DataFrame, responses: DataFrame, reference: Reference | None, tables: dict[str, KeyedTable], audit_path: str,
+                    now: datetime, stage_path: str, existing: DataFrame | None = None, within_batch: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, failures) of a batch stored by :func:`persist_touched`; ``existing`` defaults to all stored records."""
+    prepared = prepare_batch(ocr, responses, reference, tables["land_records"].read() if existing is None else existing, stage_path, within_batch)
+    batch = stored_once(ocr.sparkSession, prepared, f"{stage_path}/prepared")
+    outcomes = persist_touched(batch.filter("error_code is null"), tables, audit_path, stage_path, now)
+    return outcomes, batch.filter("error_code is not null").select("job_id", "document_id", "user_id", "error_code")
+
+
 def check_outputs(manifest: DataFrame, outputs: DataFrame, reference: Reference | None) -> DataFrame:
     """Verdict, issues and duplicate matches per manifest document; failed ones keep their error code."""
     staged = with_missing(manifest, outputs)

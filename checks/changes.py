@@ -466,9 +466,9 @@ def _(spark, d):
 
     again = rows.filter(k % 6 == 0)
     for part in (named(rows, 0, "a"), named(again, 1, "a").unionByName(named(again, 1, "b")), named(rows.filter(k % 10 == 0), 2, "a")):
-        # One file is one micro-batch here.
-        part.coalesce(1).write.mode("append").json(source)
-        streams.start_incremental(spark, source, target, v.reference(spark, d), place).awaitTermination()
+        # What was added since the last start is one micro-batch.
+        part.write.mode("append").json(source)
+        streams.start_incremental(spark, source, target, v.reference(spark, d), place, buckets=8).awaitTermination()
     done = spark.read.parquet(target)
     return done.select(F.col("batch").cast("int").alias("batch"), F.concat("document_id", F.lit(":"), F.substring_index("job_id", ":", -1)).alias("job"),
                        "error_code", "match_count", "verdict")

@@ -50,11 +50,12 @@ def find_duplicates_incremental(batch: DataFrame, existing: DataFrame, within_ba
     the newest one counts, whatever key the others had. Stored rows of a document that is in the batch are its own earlier version and
     do not count. With ``within_batch`` the other documents of the batch count as well.
 
-    Only stored rows that a batch key leads to are counted: those with such a key and, where versions are kept, the other versions
+    ``existing`` may hold the ``duplicate_key`` instead of its parts. Only stored rows that a batch key leads to are counted: those with such a key and, where versions are kept, the other versions
     of their documents.
     """
     keyed = batch.withColumn("duplicate_key", duplicate_key(F.col("survey_number"), F.col("village")))
-    stored = existing.select("document_id", duplicate_key(F.col("survey_number"), F.col("village")).alias("duplicate_key"),
+    known = F.col("duplicate_key") if "duplicate_key" in existing.columns else duplicate_key(F.col("survey_number"), F.col("village"))
+    stored = existing.select("document_id", known.alias("duplicate_key"),
                              (F.lit(0) if version is None else version).alias("_version"))
     asked = keyed.select("duplicate_key").filter("duplicate_key is not null").distinct()
     reached = stored.join(asked, "duplicate_key", "left_semi")

@@ -39,13 +39,13 @@ def stored_once(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def prepare_batch(ocr: DataFrame, responses: DataFrame, reference: Reference | None, existing: DataFrame,
+def prepare_batch(ocr: DataFrame, responses: DataFrame, reference: Reference | None, existing: DataFrame | Callable[[DataFrame], DataFrame],
                   stage_path: str, within_batch: bool = True, version: Column | None = None) -> DataFrame:
     """One row per job: parsed, normalised, checked, compared with other records, typed, with its outcome.
 
     ``ocr`` has (document_id, pages) and, if every job has pages of its own, job_id; ``responses`` has (job_id, document_id, user_id,
     raw_text, provider, model, prompt_version, schema_version), ``existing`` the stored records, whose versions ``version`` orders if
-    it holds several of a document. A response that cannot be read, or a document without text, comes out with ``error_code`` and no
+    it holds several of a document; or it is a function that finds the stored records which the checked rows lead to. A response that cannot be read, or a document without text, comes out with ``error_code`` and no
     record. Of several jobs of a document in one batch the one with the largest job_id counts; the others come out as JOB_SUPERSEDED.
     Repeated rows of a job are one job; of several page lists for a document the largest counts.
 
@@ -67,7 +67,8 @@ def prepare_batch(ocr: DataFrame, responses: DataFrame, reference: Reference | N
     checked_rows = rules.validate(normalize_record(values_to_columns(staged)), reference)
     rows = stored_once(ocr.sparkSession, checked_rows, f"{stage_path}/checked")
     checked, failed = rows.filter("error_code is null"), rows.filter("error_code is not null")
-    compared = duplicates.find_duplicates_incremental(checked, existing, within_batch, version=version)
+    known = existing if isinstance(existing, DataFrame) else existing(checked)
+    compared = duplicates.find_duplicates_incremental(checked, known, within_batch, version=version)
     judged = duplicates.add_duplicate_issue(compared).withColumn("verdict", rules.record_verdict(F.col("issues")))
     typed = coerce_typed_columns(judged.withColumn("outcome", rules.map_verdict(F.col("verdict"), F.size("issues"))))
     info = F.create_map(*[x for name in ("job_id", "verdict", "provider", "model", "prompt_version", "schema_version")

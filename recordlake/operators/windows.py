@@ -44,32 +44,46 @@ def stage_durations(audit: DataFrame, slices: int | None = None) -> DataFrame:
 
 
 def failed_attempt_rate(events: DataFrame, key: str, is_failure: Column, is_reset: Column, at: str = "ts",
-                        row_id: str = "event_id", window_s: int = 300, limit: int = 10) -> DataFrame:
+                        row_id: str = "event_id", window_s: int = 300, limit: int = 10, slices: int | None = None) -> DataFrame:
     """Add ``recent_failures`` and ``blocked``: failures of a key less than ``window_s`` seconds old since its last reset.
 
-    A key is cut into time slices; the last ``window_s`` seconds of a slice are copied into the next one as context.
-    The counts are exact because nothing older than the window matters. A count is what has failed so far in the run less what had
-    failed a window ago; both sums only grow, so a key with many failures in one window costs no more per row than any other.
+    A failure also ends a window later, so counts come from three sums that only grow along a key: failures so far, failures that have
+    ended, and failures before the last reset. The sums are taken within slices of about equal row counts (``slices`` of them over the
+    whole table) and carried from slice to slice, so a burst of one key, even within a single window or a single moment, is spread like
+    any other rows. Rows without a time come first and are counted among themselves only.
     """
-    width = window_s * 1_000_000
-    slice_width = width * 12
-    t = F.unix_micros(F.col(at).cast("timestamp"))
+    width, earliest = window_s * 1_000_000, -(1 << 62)
     staged = events.withColumns({
-        "_t": t, "_fail": F.coalesce(is_failure, F.lit(False)).cast("int"),
-        "_reset": F.coalesce(is_reset, F.lit(False)).cast("int"), "_home": F.floor(t / F.lit(slice_width)).cast("long"),
+        "_t": F.unix_micros(F.col(at).cast("timestamp")), "_row": F.lit(1), "_gone": F.lit(0),
+        "_fail": F.coalesce(is_failure, F.lit(False)).cast("int"), "_reset": F.coalesce(is_reset, F.lit(False)).cast("int"),
     })
-    tail = F.pmod(F.col("_t"), F.lit(slice_width)) >= slice_width - width
-    homes = F.when(tail, F.array(F.col("_home"), F.col("_home") + 1)).otherwise(F.array(F.col("_home")))
-    copied = staged.withColumn("_slice", F.explode(homes))
-    in_order = Window.partitionBy(key, "_slice").orderBy("_t", row_id).rowsBetween(Window.unboundedPreceding, 0)
-    by_time = Window.partitionBy(key, "_slice", "_run").orderBy("_t")
-    so_far = F.sum("_fail").over(by_time.rangeBetween(Window.unboundedPreceding, 0))
-    expired = F.sum("_fail").over(by_time.rangeBetween(Window.unboundedPreceding, -width))
-    counted = copied.withColumn("_run", F.sum("_reset").over(in_order)).withColumn(
-        "recent_failures", (so_far - F.coalesce(expired, F.lit(0))).cast("long")
-    )
-    return (
-        counted.filter("_slice = _home")
-        .withColumn("blocked", F.col("recent_failures") >= limit)
-        .drop("_t", "_fail", "_reset", "_home", "_slice", "_run")
-    )
+    ends = staged.filter("_fail = 1").select(
+        key, F.coalesce(F.col("_t") + width, F.lit(earliest)).alias("_t"), F.lit(0).alias("_row"), F.lit(1).alias("_gone"),
+        F.lit(0).alias("_fail"), F.lit(0).alias("_reset"))
+    sliced = skew.in_slices(staged.unionByName(ends, allowMissingColumns=True), key, [F.col("_t"), F.col("_row"), F.col(row_id)], slices)
+
+    so_far = Window.partitionBy("_key", "_slice").orderBy(*[F.col(n).asc_nulls_first() for n in ("_o0", "_o1", "_o2")]).rowsBetween(Window.unboundedPreceding, 0)
+    local = sliced.withColumns({"_f": F.sum("_fail").over(so_far), "_g": F.sum("_gone").over(so_far), "_r": F.sum("_reset").over(so_far)})
+    local = local.withColumn("_cleared", F.max(F.when(F.col("_reset") == 1, F.col("_f") - F.col("_fail"))).over(so_far))
+    earlier = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = local.groupBy("_key", "_slice").agg(
+        F.sum("_fail").alias("f"), F.sum("_gone").alias("g"), F.sum("_reset").alias("r"), F.max("_cleared").alias("cleared"))
+    carried = totals.select("_key", "_slice", "cleared", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}0") for c in "fgr"])
+    carried = carried.withColumn("_cleared0", F.coalesce(F.max(F.col("cleared") + F.col("_f0")).over(earlier), F.lit(0))).drop("cleared")
+    summed = local.join(carried, ["_key", "_slice"]).withColumns({
+        "_failed": F.col("_f") + F.col("_f0"), "_ended": F.col("_g") + F.col("_g0"), "_run": F.col("_r") + F.col("_r0"),
+        "_before": F.coalesce(F.col("_cleared") + F.col("_f0"), F.col("_cleared0")),
+    })
+    # Rows of one moment and run count each other, also those that the next slices begin with; only keys in several slices have such.
+    begins = summed.groupBy("_key", "_slice").agg(F.min(F.struct("_o0", "_run")).alias("first"))
+    moment = Window.partitionBy("_key", "_slice", "_o0", "_run")
+    peers = summed.withColumn("_peers", F.max("_failed").over(moment))
+    several = begins.withColumn("_n", F.count("*").over(Window.partitionBy("_key"))).filter("_n > 1").select("_key", "_slice", "first._o0", "first._run")
+    tops = peers.join(F.broadcast(several), (peers["_key"] == several["_key"]) & (peers["_slice"] == several["_slice"])
+                      & peers["_o0"].eqNullSafe(several["_o0"]) & (peers["_run"] == several["_run"]), "left_semi")
+    later = tops.groupBy(F.col("_key").alias("_key1"), F.col("_o0").alias("_at1"), F.col("_run").alias("_run1")).agg(F.max("_peers").alias("_later"))
+    joined = peers.filter("_row = 1").join(
+        F.broadcast(later), (F.col("_key") == F.col("_key1")) & F.col("_o0").eqNullSafe(F.col("_at1")) & (F.col("_run") == F.col("_run1")), "left")
+    count = F.greatest(F.col("_peers"), F.col("_later")) - F.greatest("_before", "_ended")
+    return joined.withColumn("recent_failures", count.cast("long")).withColumn("blocked", F.col("recent_failures") >= limit).select(
+        *events.columns, "recent_failures", "blocked")

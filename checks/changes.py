@@ -137,15 +137,54 @@ def _(spark, d):
     return _corrected(spark, d)["tasks"].select("id", "status")
 
 
-@check("l6_issues_after", f"""
-SELECT record_id, count(*) FILTER (rule_id LIKE 'RULE_%') AS kept, count(*) FILTER (rule_id = 'REQ_OWNER_NAME_001') AS no_owner FROM (
-SELECT record_id, rule_id FROM v_issues WHERE record_id NOT IN (SELECT record_id FROM {_CORR} WHERE code IS NULL)
-UNION ALL SELECT n.record_id, 'REQ_OWNER_NAME_001' FROM n_records n LEFT JOIN (SELECT * FROM {_CORR} WHERE code IS NULL AND field_name = 'owner_name'
-  QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY seq DESC) = 1) o USING (record_id)
-  WHERE n.record_id IN (SELECT record_id FROM {_CORR} WHERE code IS NULL) AND CASE WHEN o.seq IS NOT NULL THEN o.value ELSE n.owner_name END IS NULL) GROUP BY 1""", "v_issues v_tasks v_records n_records")
+def _last(field: str) -> str:
+    return f"(SELECT * FROM {_CORR} WHERE code IS NULL AND field_name = '{field}' QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY seq DESC) = 1)"
+
+
+# The records with their corrections, and the findings of all rules on them.
+_AGAIN = f""", c_records AS (SELECT n.* REPLACE (CASE WHEN o.seq IS NOT NULL THEN o.value ELSE n.owner_name END AS owner_name, CASE WHEN a.seq IS NOT NULL THEN a.value ELSE n.area END AS area,
+  CASE WHEN w.seq IS NOT NULL THEN w.value ELSE n.village END AS village) FROM n_records n
+  LEFT JOIN {_last('owner_name')} o USING (record_id) LEFT JOIN {_last('area')} a USING (record_id) LEFT JOIN {_last('village')} w USING (record_id)
+  WHERE n.record_id IN (SELECT record_id FROM {_CORR} WHERE code IS NULL)),
+c_issues AS ({v.SQL_VIEWS["r_issues"][1].replace("n_records", "c_records")})"""
+
+
+@check("l6_issues_after", f"""{_AGAIN}
+SELECT record_id, rule_id, coalesce(field_name, '') AS field, status, coalesce(severity, '') AS severity, message, count(*) AS n FROM (
+SELECT record_id, rule_id, field_name, status, severity, message FROM v_issues WHERE record_id NOT IN (SELECT record_id FROM {_CORR} WHERE code IS NULL)
+UNION ALL SELECT record_id, rule_id, field_name, status, severity, message FROM c_issues) GROUP BY ALL""", "v_issues v_tasks v_records n_records v_reference")
+def _(spark, d):
+    rows = _corrected(spark, d)["issues"].select("record_id", "rule_id", F.coalesce("field_name", F.lit("")).alias("field"), "status", F.coalesce("severity", F.lit("")).alias("severity"), "message")
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+
+
+def _logged(audit, *parts):
+    """The columns of audit rows and parts of their metadata, by name."""
+    facts = [F.get_json_object("metadata", f"$.{p}").alias(p) for p in parts]
+    return audit.select("action", "entity_type", "entity_id", "user_id", F.unix_micros("timestamp").alias("at"), "old_value", "new_value", *facts)
+
+
+@check("l6_audit", f"""
+SELECT 'FIELD_CORRECTED' AS action, 'land_record' AS entity_type, record_id AS entity_id, 'u1' AS user_id, task_id AS review_id, field_name AS field, 'checked' AS reason, value AS new_text,
+  CASE WHEN rn = 1 THEN CASE field_name WHEN 'area' THEN n.area WHEN 'owner_name' THEN n.owner_name ELSE n.village END ELSE prev END AS old_text
+FROM (SELECT *, lag(value) OVER w AS prev, row_number() OVER w AS rn FROM {_CORR} WHERE code IS NULL WINDOW w AS (PARTITION BY record_id, field_name ORDER BY seq)) JOIN n_records n USING (record_id)""",
+       "n_records v_tasks v_records")
+def _(spark, d):
+    def text(name: str):
+        return F.element_at(F.from_json(name, "map<string,string>"), F.col("field"))
+
+    rows = _logged(_corrected(spark, d)["audit"], "review_id", "field", "reason")
+    return rows.select("action", "entity_type", "entity_id", "user_id", "review_id", "field", "reason", text("new_value").alias("new_text"), text("old_value").alias("old_text"))
+
+
+@check("l5_audit", f"""
+SELECT 'REVIEW_CREATED' AS action, 'land_record' AS entity_type, rec AS entity_id, 'u1' AS user_id, t AS at, CASE WHEN event_id % 2 = 0 THEN 'HIGH' ELSE 'LOW' END AS priority,
+  CASE WHEN event_id % 11 = 0 THEN '' ELSE 'why ' || CAST(event_id AS VARCHAR) END AS reason
+FROM (SELECT event_id, epoch_us(ts) AS t, CAST(user_id AS VARCHAR) AS rec, {_FIRST} AS first FROM events) e JOIN v_records r ON r.record_id = e.rec LEFT JOIN {_OPEN} o ON o.record_id = e.rec
+WHERE first AND r.status <> 'APPROVED' AND coalesce(o.n, 0) = 0""", "v_records v_tasks")
 def _(spark, d):
-    rows = _corrected(spark, d)["issues"].filter("rule_id like 'RULE_%' or rule_id = 'REQ_OWNER_NAME_001'")
-    return rows.groupBy("record_id").agg(F.count_if(F.col("rule_id").startswith("RULE_")).alias("kept"), F.count_if(F.col("rule_id") == "REQ_OWNER_NAME_001").alias("no_owner"))
+    audit = state.create_reviews(v.records(spark, d), v.tasks(spark, d), _record_requests(spark, d))[2]
+    return _logged(audit, "priority", "reason").drop("old_value", "new_value")
 
 
 @check("l7_complete_reviews", """
@@ -163,6 +202,15 @@ def _(spark, d):
     return state.complete_reviews(v.tasks(spark, d), commands)[0].select("id", "status")
 
 
+@check("l7_audit", """
+SELECT 'REVIEW_COMPLETED' AS action, 'land_record' AS entity_type, t.land_record_id AS entity_id, 'u1' AS user_id, e.t AS at, t.id AS review_id
+FROM (SELECT 'K' || CAST(user_id AS VARCHAR) AS task, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 AS first FROM events) e JOIN v_tasks t ON t.id = e.task
+WHERE first AND t.status IN ('PENDING', 'IN_REVIEW')""", "v_tasks")
+def _(spark, d):
+    commands = _requests(spark, d, "task_id").withColumn("task_id", F.concat(F.lit("K"), F.col("task_id")))
+    return _logged(state.complete_reviews(v.tasks(spark, d), commands)[2], "review_id").drop("old_value", "new_value")
+
+
 _BLOCK = """CASE WHEN r.record_id IS NULL THEN 'RECORD_NOT_FOUND' WHEN r.status = 'APPROVED' THEN 'RECORD_FINALIZED' WHEN b.bad OR o.n > 0 THEN 'APPROVAL_BLOCKED' END"""
 _BAD = """(SELECT record_id, bool_or(severity IN ('ERROR', 'CRITICAL') OR rule_id IN ('REQ_OWNER_NAME_001', 'REQ_SURVEY_NUMBER_001', 'REQ_AREA_001', 'REQ_VILLAGE_001', 'REQ_TEHSIL_001', 'REQ_DISTRICT_001')) AS bad FROM r_issues GROUP BY 1)"""
 
@@ -182,6 +230,15 @@ def _(spark, d):
     return state.approve(v.records(spark, d), v.tasks(spark, d), _record_requests(spark, d), v.reference(spark, d))[0].select("record_id", "status")
 
 
+@check("l8_audit", f"""
+SELECT 'RECORD_APPROVED' AS action, 'land_record' AS entity_type, rec AS entity_id, 'u1' AS user_id, t AS at, '{{"status":"' || r.status || '"}}' AS old_value, '{{"status":"APPROVED"}}' AS new_value,
+  CASE WHEN event_id % 11 <> 0 THEN 'why ' || CAST(event_id AS VARCHAR) END AS reason
+FROM (SELECT event_id, epoch_us(ts) AS t, CAST(user_id AS VARCHAR) AS rec, {_FIRST} AS first FROM events) e JOIN v_records r ON r.record_id = e.rec
+LEFT JOIN {_OPEN} o ON o.record_id = e.rec LEFT JOIN {_BAD} b ON b.record_id = e.rec WHERE first AND {_BLOCK} IS NULL""", "v_records v_tasks r_issues")
+def _(spark, d):
+    return _logged(state.approve(v.records(spark, d), v.tasks(spark, d), _record_requests(spark, d), v.reference(spark, d))[2], "reason")
+
+
 _REJECT = f"""(SELECT e.event_id AS seq, rec, CASE WHEN event_id % 11 = 0 THEN 'REJECTION_REASON_REQUIRED' WHEN r.record_id IS NULL THEN 'RECORD_NOT_FOUND' WHEN r.status = 'APPROVED' OR NOT first THEN 'RECORD_FINALIZED' END AS code
 FROM (SELECT event_id, CAST(user_id AS VARCHAR) AS rec, row_number() OVER (PARTITION BY user_id, event_id % 11 = 0 ORDER BY event_id) = 1 AS first FROM events) e LEFT JOIN v_records r ON r.record_id = e.rec)"""
 
@@ -197,6 +254,14 @@ def _(spark, d):
     return state.reject(v.records(spark, d), v.tasks(spark, d), _record_requests(spark, d))[1].select("id", "status")
 
 
+@check("l9_audit", f"""
+SELECT 'RECORD_REJECTED' AS action, 'land_record' AS entity_type, j.rec AS entity_id, 'u1' AS user_id, epoch_us(e.ts) AS at, '{{"status":"' || r.status || '"}}' AS old_value, '{{"status":"REJECTED"}}' AS new_value,
+  'why ' || CAST(j.seq AS VARCHAR) AS reason, coalesce((SELECT '["' || string_agg(t.id, '","' ORDER BY t.id) || '"]' FROM v_tasks t WHERE t.land_record_id = j.rec AND t.status IN ('PENDING', 'IN_REVIEW')), '[]') AS cancelled_reviews
+FROM {_REJECT} j JOIN events e ON e.event_id = j.seq JOIN v_records r ON r.record_id = j.rec WHERE j.code IS NULL""", "v_records v_tasks")
+def _(spark, d):
+    return _logged(state.reject(v.records(spark, d), v.tasks(spark, d), _record_requests(spark, d))[3], "reason", "cancelled_reviews")
+
+
 @check("l10_fail_jobs", """
 SELECT id, CASE WHEN status = 'RUNNING' THEN 'FAILED' ELSE status END AS status, CASE WHEN status = 'RUNNING' THEN 'OCR_FAILED' ELSE error_code END AS error_code FROM v_jobs""", "v_jobs")
 def _(spark, d):
@@ -206,6 +271,15 @@ def _(spark, d):
     return state.fail_jobs(j, documents(spark, d), failures)[0].select("id", "status", "error_code")
 
 
+@check("l10_audit", """
+SELECT 'PROCESSING_FAILED' AS action, 'document' AS entity_type, document_id AS entity_id, 'u1' AS user_id, epoch_us(TIMESTAMP '2001-01-01') AS at, id AS job_id, 'OCR_FAILED' AS error_code FROM v_jobs WHERE status = 'RUNNING'""", "v_jobs")
+def _(spark, d):
+    j = v.jobs(spark, d)
+    failures = j.filter("status = 'RUNNING'").select(
+        F.col("id").alias("job_id"), "document_id", F.lit("u1").alias("user_id"), F.lit("OCR_FAILED").alias("error_code"), F.lit("no text").alias("error_message"), F.lit(NOW).alias("at"))
+    return _logged(state.fail_jobs(j, documents(spark, d), failures)[2], "job_id", "error_code").drop("old_value", "new_value")
+
+
 # Processing a batch -------------------------------------------------------------------------------------------------
 
 _USABLE = "(SELECT * FROM n_records WHERE k % 4 <> 1 AND k % 53 <> 0 AND k % 59 <> 0)"
@@ -398,7 +472,7 @@ def _(spark, d):
 
 # Streams ------------------------------------------------------------------------------------------------------------
 
-_FILES = 4
+_FILES, _PARTS = 4, 2
 
 
 def _in_files(spark, df, order: str, name: str) -> str:
@@ -408,14 +482,14 @@ def _in_files(spark, df, order: str, name: str) -> str:
     place = F.unix_micros(order) if order == "ts" else F.col(order)
     part = sum((F.when(place > c, 1).otherwise(0) for c in cuts), F.lit(0))
     for i in range(_FILES):
-        df.filter(part == i).coalesce(1).write.parquet(f"{source}/f{i}")
+        df.filter(part == i).repartition(_PARTS).write.parquet(f"{source}/f{i}")
     return source
 
 
 def _event_stream(spark, d, name: str):
     events = v.table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     source = _in_files(spark, events, "ts", name)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", _PARTS).parquet(f"{source}/*")
 
 
 @check("st2_failed_attempts", """

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import id_and_text, pieces
+from .common import id_and_text, pieces, stored
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -64,7 +64,8 @@ def length_histogram(counts: DataFrame, chunk: int = 1024) -> DataFrame:
     chunks of lengths and over the chunks, so no step sees more than ``chunk`` lengths or one row per chunk. An empty table gives an
     empty one; null lengths are left out.
     """
-    lengths = counts.filter("length IS NOT NULL").groupBy("length").agg(F.count("*").alias("docs"))
+    # Stored, one row per length, since the sums read it twice and texts are encoded once.
+    lengths = stored(counts.filter("length IS NOT NULL").groupBy("length").agg(F.count("*").alias("docs")))
     lengths = lengths.withColumn("tokens", F.col("length") * F.col("docs")).withColumn("chunk", F.floor(F.col("length") / chunk).cast("long"))
     chunks = lengths.groupBy("chunk").agg(F.sum("docs").alias("chunk_docs"), F.sum("tokens").alias("chunk_tokens"))
     longer = W.orderBy(F.col("chunk").desc()).rowsBetween(W.unboundedPreceding, -1)

@@ -1,14 +1,15 @@
 """Edit distance, error rates and field verdicts.
 
-Short texts use the built-in ``levenshtein``. Its time grows with the product of the lengths, and its bounded form is
-hardly faster on long texts, so long texts and word sequences go through an Arrow function that handles a whole column
-of the distance table in a few integer operations. Texts are compared whole.
+Short texts use the built-in ``levenshtein``, short word sequences as well once each word is a character of its own. Its time grows
+with the product of the lengths, and its bounded form is hardly faster on long texts, so longer pairs go through an Arrow function.
+That follows the diagonals of the distance table, which takes length + distance^2 steps, and turns to whole columns of the table
+held as bits where two texts have little in common. Texts are compared whole.
 """
 
 from __future__ import annotations
 
 import difflib
-from collections.abc import Hashable, Sequence
+from collections.abc import Callable, Hashable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.sql.types import DoubleType, IntegerType
 from .text import compare_key
 
 SHORT_TEXT = 512
+SHORT_WORDS = 128
 
 # --- fixed values -----------------------------------------------------------
 STRICT_FIELDS = (
@@ -46,16 +48,59 @@ def shared_start(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
     return low
 
 
-def sequence_distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
-    """Levenshtein distance of two sequences, with one distance column per step held as bits (Myers 1999, Hyyrö 2003).
+def shared_run(a: Sequence[Hashable], b: Sequence[Hashable], i: int, j: int) -> int:
+    """How many items ``a`` from ``i`` and ``b`` from ``j`` have in common, compared in blocks that grow."""
+    most = min(len(a) - i, len(b) - j)
+    if most <= 0 or a[i] != b[j]:
+        return 0
+    done, block = 1, 16
+    while done < most:
+        block = min(block, most - done)
+        if a[i + done:i + done + block] != b[j + done:j + done + block]:
+            return done + shared_start(a[i + done:i + done + block], b[j + done:j + done + block])
+        done, block = done + block, block * 4
+    return done
+
+
+def near_distance(a: Sequence[Hashable], b: Sequence[Hashable], steps: int) -> int | None:
+    """Levenshtein distance by furthest places on diagonals (Ukkonen 1985), None once ``steps`` places did not reach the end.
 
-    ``up`` and ``down`` mark the rows of the column where the distance rises or falls by one from the row above. What both
-    sequences start or end with is left out first.
+    ``front`` holds, for each difference of places, how far in ``a`` the edits so far get. One more edit goes on from the same
+    diagonal or from a neighbour, then along the items that agree.
     """
+    rows, columns = len(a), len(b)
+    goal, edits = rows - columns, 0
+    front = {0: shared_run(a, b, 0, 0)}
+    while front.get(goal, -1) < rows:
+        edits += 1
+        steps -= 2 * edits + 1
+        if steps < 0:
+            return None
+        further = {}
+        for diagonal in range(-min(edits, columns), min(edits, rows) + 1):
+            at = max(front.get(diagonal, -2) + 1, front.get(diagonal - 1, -2) + 1, front.get(diagonal + 1, -1))
+            at = min(at, rows, columns + diagonal)
+            further[diagonal] = at + shared_run(a, b, at, at - diagonal)
+        front = further
+    return edits
+
+
+def sequence_distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
+    """Levenshtein distance of two sequences. What both start or end with is left out first."""
     start = shared_start(a, b)
     a, b = a[start:], b[start:]
     end = shared_start(a[::-1], b[::-1])
     a, b = a[:len(a) - end], b[:len(b) - end]
+    # A step along diagonals costs about as much as half a column, so a pair that has to be done over costs twice at most.
+    found = near_distance(a, b, 2 * min(len(a), len(b)))
+    return column_distance(a, b) if found is None else found
+
+
+def column_distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
+    """Levenshtein distance with one column of the distance table per step held as bits (Myers 1999, Hyyrö 2003).
+
+    ``up`` and ``down`` mark the rows of the column where the distance rises or falls by one from the row above.
+    """
     rows = len(a)
     if rows == 0:
         return len(b)
@@ -91,14 +136,40 @@ def _long_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(IntegerType())
-def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Exact edit distance over blank-separated words."""
+def _long_word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(
         [None if x is None or y is None else sequence_distance(x.split(" "), y.split(" ")) for x, y in zip(a, b)],
         dtype="Int32",
     )
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _as_characters(words: Column, known: Column) -> Column:
+    """One character per word: the one at U+0100 plus the word's place among the ``known`` words."""
+    codes = F.transform(words, lambda w: F.lpad(F.hex(F.array_position(known, w) + 0xFF), 4, "0"))
+    return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
+
+
+def _short_word_distance(a: Column, b: Column) -> Column:
+    words = F.struct(F.split(a, " ", -1).alias("a"), F.split(b, " ", -1).alias("b"))
+    known = _let(words, lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), F.array_distinct(F.concat(w["a"], w["b"])).alias("known")))
+    return _let(known, lambda w: F.levenshtein(_as_characters(w["a"], w["known"]), _as_characters(w["b"], w["known"])))
+
+
+def word_distance(a: Column, b: Column) -> Column:
+    """Exact edit distance over blank-separated words; the empty text is one empty word."""
+    blanks = F.greatest(*[F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) for c in (a, b)])
+    long = (blanks >= SHORT_WORDS) & (a != b)
+    return (
+        F.when(a == b, F.lit(0)).when(long, _long_word_distance(F.when(long, a), F.when(long, b)))
+        .when(a.isNotNull() & b.isNotNull(), _short_word_distance(a, b))
+    )
+
+
 def edit_distance(a: Column, b: Column) -> Column:
     """Exact character edit distance."""
     long = (F.greatest(F.length(a), F.length(b)) > SHORT_TEXT) & (a != b)
@@ -116,9 +187,7 @@ def char_error_rate(ref: Column, hyp: Column) -> Column:
 
 def word_error_rate(ref: Column, hyp: Column) -> Column:
     """Error rate of normalised texts by words; the empty text is one empty word."""
-    differ = ref != hyp
-    distance = F.when(ref == hyp, F.lit(0)).otherwise(word_distance(F.when(differ, ref), F.when(differ, hyp)))
-    return distance / F.size(F.split(ref, " ", -1))
+    return word_distance(ref, hyp) / F.size(F.split(ref, " ", -1))
 
 
 def error_rate(reference: Column, hypothesis: Column, unit: str) -> Column:

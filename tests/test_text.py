@@ -2,6 +2,7 @@
 
 import difflib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,6 +31,40 @@ def test_sequence_distance_equals_brute_force():
         assert ds.sequence_distance(a, b) == brute(a, b)
 
 
+def test_diagonals_and_columns_agree():
+    rng = random.Random(11)
+    for _ in range(2000):
+        a, b = ("".join(rng.choice("abé") for _ in range(rng.randrange(30))) for _ in range(2))
+        assert ds.near_distance(a, b, 10 ** 6) == ds.column_distance(a, b) == brute(a, b)
+    assert ds.near_distance("a" * 50, "b" * 50, 20) is None
+
+
+def test_long_texts_with_few_edits():
+    rng = random.Random(12)
+    a = [rng.choice("abcdefgh ") for _ in range(100_000)]
+    b = list(a)
+    for at in rng.sample(range(0, 100_000, 10), 20):
+        b[at] = "§"
+    start = time.perf_counter()
+    assert ds.sequence_distance("".join(a), "".join(b)) == 20
+    assert time.perf_counter() - start < 0.5
+
+
+def test_word_distance_on_both_sides_of_the_limit(spark):
+    rng, rows = random.Random(13), [(None, "a"), ("a", None), (None, None), ("", ""), ("", "a"), ("a  b", "a b")]
+    for i in range(150):
+        a = [rng.choice(["x", "y", "zz", "É", ""]) if i % 2 else "w%d" % rng.randrange(40) for _ in range(rng.choice([1, 3, 10, 60, 128, 129, 200]))]
+        b = list(a)
+        for _ in range(rng.randrange(8)):
+            b[rng.randrange(len(b))] = rng.choice(["q", "x", ""])
+            b.insert(rng.randrange(len(b) + 1), rng.choice(["q", "x", ""]))
+            del b[rng.randrange(len(b))]
+        rows.append((" ".join(a), " ".join(b)))
+    df = spark.createDataFrame(rows, "a string, b string")
+    for r in df.select("a", "b", ds.word_distance(F.col("a"), F.col("b")).alias("d")).collect():
+        assert r.d == (None if r.a is None or r.b is None else brute(r.a.split(" "), r.b.split(" ")))
+
+
 def test_error_rates(spark):
     rng = random.Random(2)
     long = ["".join(rng.choice("ab cd") for _ in range(700)) for _ in range(4)]

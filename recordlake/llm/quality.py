@@ -39,11 +39,14 @@ def byte_classes() -> np.ndarray:
     return kind
 
 
+BYTE_CLASSES = byte_classes()
+
+
 def statistics(text: bytes) -> tuple[float, ...]:
     """The values of STATISTICS for a text; shares are 0 where there is nothing to share."""
     n = len(text)
     histogram = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-    upper, digits, marks, symbols, beyond, blanks, stops = np.bincount(byte_classes(), histogram, 8)[1:] / max(1, n)
+    upper, digits, marks, symbols, beyond, blanks, stops = np.bincount(BYTE_CLASSES, histogram, 8)[1:] / max(1, n)
     words = text.split()
     k = max(1, len(words))
     counts: dict[bytes, int] = {}

@@ -2,8 +2,8 @@
 
 Three patterns are enough for the whole package:
 
-* ``lookup``: the right side has one row per key. Below a checked row count it is broadcast. Above it the left
-  side is spread over salts and the right side is copied once per salt.
+* ``lookup``: the right side has one row per key. Below a checked row count it is broadcast. Above it both sides are shuffled; only
+  keys that a sketch of fixed size finds hot are dealt to shares, as many as their rows need.
 * ``attach``: the right side is an aggregate of the left side itself. Keys above ``hot_rows`` are few by
   arithmetic (at most rows / hot_rows), so they are broadcast and their rows never meet in one task.
 * ``sliced windows``: an ordering within a key is computed per slice of about equal row counts, with the slice totals carried
@@ -18,22 +18,37 @@ from pyspark.sql import Window
 
 BROADCAST_ROWS = 200_000
 HOT_ROWS = 1_000_000
-SALTS = 16
+HOT_KEYS = 1_000
+SKETCH_ITEMS = 20_000
+NULL_SHARES = 1_024
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` holds at most ``rows`` rows; reads no more than one row beyond that."""
-    return df.limit(rows + 1).count() <= rows
+def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list[tuple]:
+    """(key, share count) of the keys with more than ``hot_rows`` rows: as many shares as keep them about that large.
+
+    A frequent-items sketch of fixed size finds them in one pass, without a shuffle of keys. At most ``HOT_KEYS`` come to the driver:
+    a key that is not among them has no more rows than ``hot_rows`` or one part in ``HOT_KEYS`` of all, whichever is larger.
+    """
+    found = df.filter(F.col(key).isNotNull()).agg(F.call_function("approx_top_k", F.col(key), F.lit(HOT_KEYS), F.lit(SKETCH_ITEMS)).alias("top")).first()["top"]
+    return [(r["item"], -(-r["count"] // hot_rows)) for r in found or [] if r["count"] > hot_rows]
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, small: bool, salts: int = SALTS) -> DataFrame:
-    """Left join to a table with one row per ``key``. ``small`` is the outcome of a size check on ``right``."""
+def lookup(left: DataFrame, right: DataFrame, key: str, small: bool, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Left join to a table with one row per ``key``. ``small`` is the outcome of a size check on ``right``.
+
+    A large table is joined by shuffling both sides. Rows of a hot key are dealt to shares, and only its row of ``right`` is copied, once
+    per share. Rows without a key match nothing and are spread the same way. The share is a hash of the row, so that a task that runs again
+    deals as before; rows equal in every column stay together.
+    """
     if small:
         return left.join(F.broadcast(right), key, "left")
-    # Rows of one key spread over all salts; NULL keys match nothing and spread the same way.
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if _hashable(left, c)]), F.lit(salts))
-    copies = right.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)])))
-    return left.withColumn("_salt", salt).join(copies, [key, "_salt"], "left").drop("_salt")
+    spark, kind = left.sparkSession, left.schema[key].dataType.simpleString()
+    hot = F.broadcast(spark.createDataFrame(hot_keys(left, key, hot_rows), f"{key} {kind}, _shares long"))  # at most HOT_KEYS rows
+    row = F.xxhash64(*[F.col(c) for c in left.columns if _hashable(left, c)])
+    shares = F.when(F.col(key).isNull(), F.lit(NULL_SHARES)).otherwise(F.coalesce("_shares", F.lit(1)))
+    dealt = left.withColumn("_row", row).join(hot, key, "left").withColumn("_share", F.pmod("_row", shares)).drop("_row", "_shares")
+    copies = right.join(hot, key, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1)))
+    return dealt.join(copies.drop("_shares"), [key, "_share"], "left").drop("_share")
 
 
 def _hashable(df: DataFrame, name: str) -> bool:

@@ -14,6 +14,7 @@ from recordlake.operators import joins, search, windows
 from recordlake.plans import process, reports
 from recordlake.sources import readers, sinks
 from recordlake.sources.keyed import KeyedTable
+from recordlake.sources.pages import AUDIT_ORDER, RECORD_ORDER, TASK_ORDER, PagedTable
 
 from . import views as v
 from .records import judged
@@ -646,6 +647,37 @@ def _(spark, d):
     return _after(v.audit(spark, d), [("timestamp", True), ("id", True)], 2, 30).select("id")
 
 
+def _deep(spark, rows, order, limit: int):
+    """The last full page out of a layout by position."""
+    table = PagedTable(spark, scratch(spark, "pages"), order, 16).create(rows)
+    return table.page(max(1, table.total() // limit), limit)
+
+
+def _deep_sql(key: str, order: str, view: str, limit: int) -> str:
+    return f"""SELECT {key} FROM (SELECT {key}, row_number() OVER (ORDER BY {order}) AS p, count(*) OVER () AS n FROM {view})
+WHERE p > greatest(n // {limit} - 1, 0) * {limit} AND p <= greatest(n // {limit}, 1) * {limit}"""
+
+
+@check("t1_page_deep", _deep_sql("record_id", "updated_at DESC NULLS LAST, record_id", "v_records", 25), "v_records")
+def _(spark, d):
+    return _deep(spark, v.records(spark, d), RECORD_ORDER, 25).select("record_id")
+
+
+@check("t2_page_deep", _deep_sql("id", "created_at DESC NULLS LAST, id DESC", "v_tasks", 20), "v_tasks")
+def _(spark, d):
+    return _deep(spark, v.tasks(spark, d), TASK_ORDER, 20).select("id")
+
+
+@check("t3_page_deep", _deep_sql("id", "at_us NULLS LAST, id", "v_audit", 30), "v_audit")
+def _(spark, d):
+    return _deep(spark, v.audit(spark, d), AUDIT_ORDER, 30).select("id")
+
+
+@check("t2_page_after", "SELECT id FROM v_tasks ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 40", "v_tasks")
+def _(spark, d):
+    return _after(v.tasks(spark, d), [("created_at", False), ("id", False)], 2, 20).select("id")
+
+
 def _queue(spark, d, mode):
     return search.first_n(v.tasks(spark, d), search.queue_order(mode), 40).select("id")
 

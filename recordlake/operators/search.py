@@ -120,7 +120,8 @@ def first_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
 def page_rows(df: DataFrame, order: list[Column], page: int, limit: int) -> DataFrame:
     """Rows of a 1-based page; a page past the end is empty.
 
-    Reaching a page costs as much as all pages before it, so this is for the first few; go on with :func:`page_after`.
+    Reaching a page costs as much as all pages before it, so this is for the first few. Go on with :func:`page_after`, or reach any
+    number in a :class:`~recordlake.sources.pages.PagedTable`.
     """
     if page < 1 or limit < 1:
         raise ValueError("page and limit start at 1")

@@ -25,11 +25,20 @@ def judged(spark: SparkSession, d: str, messages: bool = False) -> DataFrame:
     return found.withColumn("verdict", rules.record_verdict(F.col("issues")))
 
 
+def with_bits(spark: SparkSession, d: str) -> tuple[DataFrame, list[rules.Rule]]:
+    """Records with a bit for every rule that found something, their verdict, and the rules."""
+    reference = v.reference(spark, d)
+    checks = [*rules.rule_set(reference), dup.duplicate_rule()]
+    bits = rules.with_findings(dup.find_duplicates(v.normalized(spark, d)), checks, reference)
+    return bits.withColumn("verdict", rules.verdict_of(F.col("findings"), checks)), checks
+
+
 @check("v19_verdict_by_district", """
 SELECT district, verdict, count(*) AS records, CAST(sum(issues) AS BIGINT) AS issues FROM verdicts GROUP BY district, verdict""", "verdicts")
 def _(spark, d):
-    return judged(spark, d).groupBy("district", "verdict").agg(
-        F.count("*").alias("records"), F.sum(F.size("issues")).cast("bigint").alias("issues"))
+    records, checks = with_bits(spark, d)
+    return records.groupBy("district", "verdict").agg(
+        F.count("*").alias("records"), F.sum(rules.count_of(F.col("findings"), checks)).cast("bigint").alias("issues"))
 
 
 @check("v19_record_verdict", "SELECT record_id, verdict, verdict <> 'READY_FOR_APPROVAL' AS blocked FROM verdicts", "verdicts")
@@ -37,6 +46,14 @@ def _(spark, d):
     return judged(spark, d).select("record_id", "verdict", rules.approval_blocked(F.col("issues")).alias("blocked"))
 
 
+@check("v19_rule_bits", "SELECT record_id, verdict, rules, issues FROM verdicts", "verdicts")
+def _(spark, d):
+    records, checks = with_bits(spark, d)
+    bits = F.col("findings")
+    return records.select("record_id", "verdict", F.array_join(rules.rule_ids_of(bits, checks), ",").alias("rules"),
+                          rules.count_of(bits, checks).cast("bigint").alias("issues"))
+
+
 @check("u2_issue_order", "SELECT record_id, rules, issues FROM verdicts", "verdicts")
 def _(spark, d):
     return judged(spark, d).select(
@@ -63,9 +80,11 @@ def _rule_check(name: str, rule_id: str) -> None:
     @check(name, f"""SELECT district, count(*) AS findings, count(DISTINCT r.message) AS messages
 FROM r_all r JOIN n_records USING (record_id) WHERE rule_id = '{rule_id}' GROUP BY district""", "r_all n_records")
     def _(spark, d):
-        rows = judged(spark, d, messages=True) if rule_id.startswith("DUP") else v.validated(spark, d)
-        found = rules.explode_issues(rows, "district").filter(F.col("rule_id") == rule_id)
-        return found.groupBy("district").agg(
+        if rule_id == "DUP_CANDIDATE_001":
+            rows = dup.find_duplicates(v.normalized(spark, d)).withColumn("issues", F.array_compact(F.array(dup.duplicate_issue())))
+        else:
+            rows = v.validated(spark, d, only=(rule_id,))
+        return rules.explode_issues(rows, "district").groupBy("district").agg(
             F.count("*").alias("findings"), F.count_distinct("message").alias("messages"))
 
 
@@ -402,16 +421,16 @@ def _(spark, d):
 
 @check("a11_severity_histogram", "SELECT severity, count(*) AS n FROM r_all GROUP BY severity", "r_all")
 def _(spark, d):
-    return agg.severity_histogram(judged(spark, d))
+    return rules.severities_of(*with_bits(spark, d))
 
 
 @check("a13_review_rate", "SELECT avg(CASE WHEN verdict <> 'READY_FOR_APPROVAL' THEN 1.0 ELSE 0.0 END) AS review_rate FROM verdicts", "verdicts")
 def _(spark, d):
-    return agg.review_rate(judged(spark, d))
+    return agg.review_rate(with_bits(spark, d)[0])
 
 
 @check("a29_verdict_summary", """
 SELECT count(*) FILTER (verdict = 'READY_FOR_APPROVAL') AS ready, count(*) FILTER (verdict = 'REVIEW_REQUIRED') AS review,
   count(*) FILTER (verdict = 'BLOCKED') AS blocked FROM verdicts""", "verdicts")
 def _(spark, d):
-    return agg.verdict_summary(judged(spark, d))
+    return agg.verdict_summary(with_bits(spark, d)[0])

@@ -97,8 +97,8 @@ def normalized(spark: SparkSession, d: str) -> DataFrame:
     return normalize_record(records(spark, d))
 
 
-def validated(spark: SparkSession, d: str, messages: bool = True) -> DataFrame:
-    return validate(normalized(spark, d), reference(spark, d), messages=messages)
+def validated(spark: SparkSession, d: str, messages: bool = True, only: tuple[str, ...] | None = None) -> DataFrame:
+    return validate(normalized(spark, d), reference(spark, d), messages=messages, only=only)
 
 
 def fields(spark: SparkSession, d: str) -> DataFrame:

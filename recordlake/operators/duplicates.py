@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import compare_key, quoted, strip
 from . import skew
+from .rules import Rule
 from .windows import newest
 
 
@@ -105,19 +106,15 @@ def duplicate_message(survey: Column, village: Column, matches: Column) -> Colum
     )
 
 
+def duplicate_rule() -> Rule:
+    """The rule for rows that went through one of the duplicate checks."""
+    return Rule("DUP_CANDIDATE_001", "survey_number", "REVIEW_REQUIRED", "WARNING", F.col("match_count") > 0,
+                duplicate_message(F.col("survey_number"), F.col("village"), F.col("match_count")))
+
+
 def duplicate_issue(message: bool = True) -> Column:
     """The issue of a row that went through one of the duplicate checks, NULL when nothing matched."""
-    text = duplicate_message(F.col("survey_number"), F.col("village"), F.col("match_count")) if message else F.lit(None).cast("string")
-    return F.when(
-        F.col("match_count") > 0,
-        F.struct(
-            F.lit("DUP_CANDIDATE_001").alias("rule_id"),
-            F.lit("survey_number").alias("field_name"),
-            F.lit("REVIEW_REQUIRED").alias("status"),
-            F.lit("WARNING").alias("severity"),
-            text.alias("message"),
-        ),
-    )
+    return duplicate_rule().issue(message)
 
 
 def add_duplicate_issue(df: DataFrame, message: bool = True) -> DataFrame:

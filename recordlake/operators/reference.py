@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,9 +105,10 @@ def reference_membership(df: DataFrame, ref: Reference, level: str) -> DataFrame
     )
 
 
-def with_reference(df: DataFrame, ref: Reference) -> DataFrame:
+def with_reference(df: DataFrame, ref: Reference, levels: Collection[str] = LEVELS) -> DataFrame:
     for level in LEVELS:
-        df = reference_membership(df, ref, level)
+        if level in levels:
+            df = reference_membership(df, ref, level)
     return df
 
 
@@ -125,7 +127,7 @@ def breaks_chain(child: str, parent: str) -> Column:
 
 def check_geo_chain(df: DataFrame, ref: Reference) -> DataFrame:
     """Add ``tehsil_conflict`` and ``district_conflict``."""
-    checked = with_reference(df, ref).withColumns(
+    checked = with_reference(df, ref, ("village", "tehsil")).withColumns(
         {"tehsil_conflict": breaks_chain("village", "tehsil"), "district_conflict": breaks_chain("tehsil", "district")}
     )
     return drop_reference_columns(checked)

@@ -125,3 +125,29 @@ def test_same_name_under_two_parents(spark):
     level = {r.key: r.parent for r in rf.build_reference(rows).levels["village"].collect()}
     assert level == {"twin": "south", "odd": None}
     assert rf.ambiguous_names(rows).count() == 1
+
+
+def test_bits_tell_what_the_findings_tell(spark):
+    df = records(spark, {}, {"owner_name": " "}, {"area": "-3", "area_unit": None}, {"area": "x", "village": "Nowhere"}, {"district": "Elsewhere", "record_date": "soon"})
+    for reference in (None, demo(spark)):
+        checks = rules.rule_set(reference)
+        bits = rules.with_findings(df, checks, reference)
+        b = F.col("findings")
+        got = bits.select("record_id", rules.verdict_of(b, checks).alias("verdict"), rules.rule_ids_of(b, checks).alias("ids"),
+                          rules.count_of(b, checks).alias("n"), rules.count_of(b, checks, lambda r: r.blocking).alias("hard")).collect()
+        full = rules.validate(df, reference)
+        i = F.col("issues")
+        want = full.select("record_id", rules.record_verdict(i).alias("verdict"), F.transform(i, lambda x: x["rule_id"]).alias("ids"),
+                           F.size(i).alias("n"), F.size(F.filter(i, lambda x: x["severity"] == "ERROR")).alias("hard")).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and sum(r.n for r in got) > 5
+        sums = {r.severity: r.n for r in rules.severities_of(bits, checks).collect()}
+        assert sums == {r.severity: r["count"] for r in rules.explode_issues(full).groupBy("severity").count().collect()}
+    with pytest.raises(ValueError):
+        rules.with_findings(df, checks * 5)
+
+
+def test_a_single_rule_needs_its_lookup_only(spark):
+    df = records(spark, {"village": "Nowhere"}, {})
+    one = rules.validate(df, demo(spark), only=("REF_VILLAGE_001",))
+    assert [[i.rule_id for i in r.issues] for r in one.orderBy(F.size("issues").desc()).collect()] == [["REF_VILLAGE_001"], []]
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1

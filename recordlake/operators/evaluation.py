@@ -18,6 +18,14 @@ def evaluate_documents(verdicts: DataFrame) -> DataFrame:
     )
 
 
+def accuracies(verdicts: DataFrame) -> DataFrame:
+    """Verdict counts and accuracy by document and by field name, in one pass; ``by_document`` tells which of the two a row is."""
+    counts = [F.count_if(F.col("verdict") == v).alias(v.lower()) for v in FIELD_VERDICTS]
+    share = F.try_divide(F.count_if(F.col("verdict") == "CORRECT").cast("double"), F.count("*").cast("double"))
+    return (verdicts.groupingSets([["id"], ["field_name"]], "id", "field_name")
+            .agg((F.grouping("id") == 0).alias("by_document"), *counts, F.count("*").alias("fields"), F.round(share, 4).alias("accuracy")))
+
+
 def evaluation_summary(documents: DataFrame) -> DataFrame:
     """Documents, failures, mean of the document accuracies and verdict totals.
 

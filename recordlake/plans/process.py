@@ -148,7 +148,11 @@ def process_touched(ocr: DataFrame, responses: DataFrame, reference: Reference |
 
 def check_outputs(manifest: DataFrame, outputs: DataFrame, reference: Reference | None) -> DataFrame:
     """Verdict, issues and duplicate matches per manifest document; failed ones keep their error code."""
-    staged = with_missing(manifest, outputs)
+    return judge(with_missing(manifest, outputs), reference)
+
+
+def judge(staged: DataFrame, reference: Reference | None) -> DataFrame:
+    """:func:`check_outputs` of documents that already have their output: (id, failed, error_code, values)."""
     good = normalize_record(values_to_columns(staged.filter(~F.col("failed")))).withColumnRenamed("id", "record_id")
     checked = duplicates.find_duplicates(rules.validate(good, reference))
     judged = duplicates.add_duplicate_issue(checked).select(
@@ -174,17 +178,20 @@ def score_outputs(outputs: DataFrame, ocr: DataFrame, issues: DataFrame) -> Data
         .join(lines, "id", "left").join(issues.select("id", F.col("issues").alias("_issues")), "id", "left")
         .withColumns({"_lines": F.coalesce("_lines", no_lines), "_issues": F.coalesce("_issues", none)})
     )
+    return rollup_record(with_scored_fields(staged).select("id", "fields", "_issues")).select(
+        "id", "overall_score", "overall_band", "review_required", "reasons", "fields"
+    )
 
+
+def with_scored_fields(staged: DataFrame) -> DataFrame:
+    """``fields`` as an array of scored fields, out of the maps ``fields`` and ``values`` and the arrays ``_lines`` and ``_issues``."""
     def one(entry: Column) -> Column:
         name = entry["key"]
         own = F.filter("_issues", lambda i: i["field_name"] == name)
         extraction = F.element_at(F.col("fields"), name)["confidence"]
         return conf.score_field(name, entry["value"], extraction, F.col("_lines"), own)
 
-    scored = staged.withColumn("fields", F.transform(F.map_entries("values"), one))
-    return rollup_record(scored.select("id", "fields", "_issues")).select(
-        "id", "overall_score", "overall_band", "review_required", "reasons", "fields"
-    )
+    return staged.withColumn("fields", F.transform(F.map_entries("values"), one))
 
 
 def rollup_record(df: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 import json
 from datetime import datetime, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
-from recordlake.operators import state
+from recordlake.operators import joins, state
 from recordlake.plans import evaluate, process
 from recordlake.schemas import FIELD_NAMES
 from recordlake.sources import readers, sinks
@@ -73,6 +74,36 @@ def test_specimen_set(spark, tmp_path):
     assert "flagged_fields: 12" in sinks.render_report(latest)
 
 
+def test_report_out_of_one_pass_equals_its_parts(spark, tmp_path):
+    """Documents that only some of the sources have; every source is scanned once and the report reads the stage alone."""
+    d = dataset(tmp_path / "set")
+    write(tmp_path / "set" / "outputs", "unlisted", {"id": "unlisted", "failed": False, "provider": "q", "model": "m", "prompt_version": "v0", "elapsed_seconds": 9.0,
+                                                     "fields": {"area": {"value": "1", "confidence": 0.1, "status": "EXTRACTED"}}, "values": {"area": "1"}})
+    write(tmp_path / "set" / "outputs", "broken", {"id": "broken", "failed": True, "error_code": "PROVIDER_TIMEOUT", "provider": "q", "model": "m", "prompt_version": "v1", "elapsed_seconds": 5.0, "fields": None, "values": None})
+    write(tmp_path / "set" / "truth", "unlisted_record", {"id": "unlisted", "area": 2.0})
+    write(tmp_path / "set" / "truth", "lonely_record", {"id": "lonely", "area": 2.0})
+    write(tmp_path / "set" / "text", "unread", {"id": "unread", "lines": ["a b"]})
+    more = spark.createDataFrame([("broken",), ("absent",), (None,), (None,)], "id string")
+    sources = [readers.read_manifest(spark, f"{d}/manifest.json").select("id").unionByName(more), readers.read_ground_truth(spark, f"{d}/truth", "record"),
+               readers.read_ground_truth(spark, f"{d}/text"), readers.read_model_outputs(spark, f"{d}/outputs"), readers.read_ocr(spark, f"{d}/ocr")]
+    manifest, truth, text, outputs, ocr = [process.stored_once(spark, s, str(tmp_path / f"s{i}")) for i, s in enumerate(sources)]
+    staged = evaluate.staged_sources(manifest, truth, text, outputs, ocr)
+    assert staged._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 5
+    got = evaluate.evaluation_report(manifest, truth, text, outputs, ocr, demo(spark), "m", "v1", NOW, "d", str(tmp_path / "stage"))
+    assert all(str(tmp_path / "stage") in f for f in got.inputFiles())
+    extraction, checks = evaluate.evaluate_extraction(manifest, truth, outputs), process.check_outputs(manifest, outputs, demo(spark))
+    want = evaluate.assemble_report(
+        extraction["results"], extraction["fields"], checks, process.score_outputs(outputs, ocr, checks.select("id", "issues")),
+        evaluate.ocr_benchmark(text, ocr)[1], joins.plan_rerun(manifest, outputs, "m", "v1"), NOW, {"dataset": "d", "prompt": "v1", "reference": demo(spark).version})
+    got, want = got.first().asDict(recursive=True), want.first().asDict(recursive=True)
+    assert (got["documents"], got["failures"], got["extraction_rerun"], got["ocr_failures"]) == (8, 4, 4, 1)
+    assert sorted(got) == sorted(want)
+    for name, value in want.items():
+        assert got[name] == (pytest.approx(value) if isinstance(value, float) else value), name
+    empty = evaluate.evaluation_report(*[s.limit(0) for s in (manifest, truth, text, outputs, ocr)], demo(spark), "m", "v1", NOW, None, str(tmp_path / "none")).first()
+    assert (empty.documents, empty.correct, empty.mean_accuracy, empty.providers, empty.field_accuracy) == (0, 0, None, [], {})
+
+
 def arrivals(spark, ids):
     rows = []
     for i in ids:

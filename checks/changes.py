@@ -428,6 +428,21 @@ def _(spark, d):
     return results.select("id", "cer", "wer", "failed", F.coalesce("lines_detected", F.lit(-1)).cast("bigint").alias("lines_detected"))
 
 
+@check("p5_ocr_rates", r"""
+SELECT id, round((length(page) - length(replace(page, 'g', ''))) / length(page), 9) AS cer, round(len(list_filter(string_split(page, ' '), lambda w: contains(w, 'g'))) / len(string_split(page, ' ')), 9) AS wer
+FROM (SELECT document_id AS id, trim(regexp_replace(lower(string_agg(text, ' ' ORDER BY turn)), '\s+', ' ', 'g')) AS page FROM v_lines GROUP BY 1)""", "v_lines")
+def _(spark, d):
+    from .language import _paged
+
+    lines = F.transform(F.col("pages")[0]["lines"], lambda l: l["text"])
+    pages = _paged(spark, d).withColumn("text", F.array_join(lines, "\n"))
+    # Every g is misread, upper or lower case.
+    misread = F.regexp_replace("text", "[gG]", "§")
+    read = pages.select("document_id", F.transform("pages", lambda p: p.withField("text", misread)).alias("pages"), F.lit(1.0).alias("elapsed_seconds"))
+    results, _ = evaluate.ocr_benchmark(pages.select(F.col("document_id").alias("id"), "text", lines.alias("lines")), read)
+    return results.select("id", F.round("cer", 9).alias("cer"), F.round("wer", 9).alias("wer"))
+
+
 # The truth differs from the output in two fields of some records, and every 1 of a page is misread.
 _REPORT_ROWS = """(SELECT *, CASE WHEN k % 5 = 0 THEN NULL ELSE owner_name END AS true_owner,
   CASE WHEN k % 4 = 1 THEN survey_number || 'X' ELSE survey_number END AS true_survey,

@@ -360,8 +360,8 @@ UNION ALL SELECT 'extracted_fields', record_id, CAST(14 AS VARCHAR) FROM {_JUDGE
 UNION ALL SELECT 'validation_results', record_id, concat_ws('|', rule_id, coalesce(field_name, ''), i.status, severity, message) FROM r_issues i JOIN n_records USING (record_id) WHERE {_RIGHT}
 UNION ALL SELECT 'validation_results', record_id, 'DUP_CANDIDATE_001|survey_number|REVIEW_REQUIRED|WARNING|survey_number: ''' || survey_number || ''' of ''' || village || ''' is also in ' || CAST(m AS VARCHAR)
   || ' other record(s); a parcel can be recorded twice for good reasons, so look at them before approval' FROM {_JUDGED} WHERE m > 0
-UNION ALL SELECT 'review_tasks', record_id, CASE WHEN document_status = 'VALIDATION_FAILED' THEN 'HIGH|PENDING|Automatic review: validation verdict BLOCKED (' ELSE 'MEDIUM|PENDING|Automatic review: validation verdict REVIEW_REQUIRED (' END
-  || CAST(issues AS VARCHAR) || ' issue(s))' FROM {_JUDGED} WHERE document_status <> 'READY_FOR_APPROVAL'
+UNION ALL SELECT 'review_tasks', record_id, CASE WHEN document_status = 'VALIDATION_FAILED' THEN 'HIGH|PENDING|Sent to review: verdict BLOCKED, findings: ' ELSE 'MEDIUM|PENDING|Sent to review: verdict REVIEW_REQUIRED, findings: ' END
+  || CAST(issues AS VARCHAR) FROM {_JUDGED} WHERE document_status <> 'READY_FOR_APPROVAL'
 UNION ALL SELECT 'audit_logs', record_id, 'PROCESSING_COMPLETED|document|u1' FROM {_JUDGED}
 UNION ALL SELECT 'audit_logs', record_id, 'REVIEW_CREATED|land_record|u1' FROM {_JUDGED} WHERE document_status <> 'READY_FOR_APPROVAL'
 UNION ALL SELECT 'failures', record_id, CASE WHEN k % 59 = 0 THEN 'OCR_FAILED' ELSE 'PROVIDER_BAD_RESPONSE' END FROM n_records WHERE NOT {_RIGHT}"""

@@ -111,11 +111,11 @@ def _(spark, d):
 
 @check("v21_approval_blockers", """
 SELECT n.record_id, coalesce(b.names, '') || CASE WHEN b.names IS NOT NULL AND m.names IS NOT NULL THEN '; ' ELSE '' END || coalesce(m.names, '')
-  || CASE WHEN t.open > 0 THEN CASE WHEN b.names IS NOT NULL OR m.names IS NOT NULL THEN '; ' ELSE '' END || 'mandatory review incomplete: ' || CAST(t.open AS VARCHAR) || ' open review task(s)' ELSE '' END AS blockers
+  || CASE WHEN t.open > 0 THEN CASE WHEN b.names IS NOT NULL OR m.names IS NOT NULL THEN '; ' ELSE '' END || 'reviews still open: ' || CAST(t.open AS VARCHAR) ELSE '' END AS blockers
 FROM n_records n
-LEFT JOIN (SELECT record_id, string_agg('blocking validation failure: ' || rule_id, '; ' ORDER BY rule_id) AS names FROM r_all
+LEFT JOIN (SELECT record_id, string_agg('finding blocks approval: ' || rule_id, '; ' ORDER BY rule_id) AS names FROM r_all
   WHERE status = 'FAIL' OR severity IN ('ERROR', 'CRITICAL') GROUP BY record_id) b USING (record_id)
-LEFT JOIN (SELECT record_id, string_agg('required field unresolved: ' || field_name, '; ' ORDER BY pos) AS names FROM r_all WHERE pos < 6 GROUP BY record_id) m USING (record_id)
+LEFT JOIN (SELECT record_id, string_agg('required value is blank: ' || field_name, '; ' ORDER BY pos) AS names FROM r_all WHERE pos < 6 GROUP BY record_id) m USING (record_id)
 LEFT JOIN (SELECT land_record_id AS record_id, count(*) AS open FROM v_tasks WHERE status IN ('PENDING', 'IN_REVIEW') GROUP BY 1) t USING (record_id)""",
        "n_records r_all v_tasks")
 def _(spark, d):
@@ -130,7 +130,7 @@ def _(spark, d):
 SELECT record_id, CASE WHEN verdict = 'READY_FOR_APPROVAL' THEN verdict ELSE 'REVIEW_REQUIRED' END AS record_status,
   CASE verdict WHEN 'BLOCKED' THEN 'VALIDATION_FAILED' ELSE verdict END AS document_status,
   CASE verdict WHEN 'BLOCKED' THEN 'HIGH' ELSE 'MEDIUM' END AS priority,
-  'Automatic review: validation verdict ' || verdict || ' (' || CAST(issues AS VARCHAR) || ' issue(s))' AS reason FROM verdicts""", "verdicts")
+  'Sent to review: verdict ' || verdict || ', findings: ' || CAST(issues AS VARCHAR) AS reason FROM verdicts""", "verdicts")
 def _(spark, d):
     return judged(spark, d).select("record_id", rules.map_verdict(F.col("verdict"), F.size("issues")).alias("m")).select("record_id", "m.*")
 

@@ -95,7 +95,7 @@ def reconcile_stale(jobs: DataFrame, documents: DataFrame, now: datetime) -> tup
     stale = F.col("status").isin("PENDING", "RUNNING")
     values = {
         "status": F.lit("FAILED"), "completed_at": F.lit(now), "error_code": F.lit("SERVER_RESTARTED"),
-        "error_message": F.lit("Server restarted while this job was running."),
+        "error_message": F.lit("The job had not ended when the service came up again."),
     }
     new_jobs = jobs.select(*[
         F.when(stale, values[c].cast(jobs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in values else F.col(c)

@@ -172,7 +172,7 @@ def test_approve_and_reject(spark):
     new, outcomes, audit = state.approve(records, tasks, commands, demo(spark))
     got = {r.seq: (r.code, r.blockers) for r in outcomes.collect()}
     assert got[0] == (None, None) and got[1][0] == "RECORD_FINALIZED" and got[3][0] == "RECORD_FINALIZED" and got[5][0] == "RECORD_NOT_FOUND"
-    assert got[2] == ("APPROVAL_BLOCKED", ["blocking validation failure: FMT_AREA_002"]) and got[4] == ("APPROVAL_BLOCKED", ["mandatory review incomplete: 1 open review task(s)"])
+    assert got[2] == ("APPROVAL_BLOCKED", ["finding blocks approval: FMT_AREA_002"]) and got[4] == ("APPROVAL_BLOCKED", ["reviews still open: 1"])
     assert new.filter("record_id = 'r1'").first().approved_by == "u" and audit.count() == 1
     records2, tasks2, outcomes2, audit2 = state.reject(records, tasks, commands.filter("record_id = 'r4'"))
     assert tasks2.first().status == "CANCELLED" and records2.filter("status = 'REJECTED'").count() == 1 and "t4" in audit2.first().metadata

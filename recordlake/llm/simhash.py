@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, id_and_text, per_text, stored
+from .common import id_and_text, per_text, stored
 
 #: First bit and width of the three segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -172,18 +172,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bucket: int = 64, id_
 
 def hex_print(fp) -> "F.Column":
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def keep_one(docs: DataFrame, shingle: int = 3, max_bucket: int = 64) -> DataFrame:
-    """The document with the smallest id of every component, with all its columns.
-
-    If that id has several texts in the component, the one with the smallest hash stays, and of rows equal in id and text one stays.
-    Ids that are null in all rows of a component count as its smallest. An empty table stays empty.
-    """
-    found = near_duplicates(docs, shingle, max_bucket).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.groupBy("doc_id", "component_fp").agg(F.min("text_hash").alias("text_hash"))
-    names = [fresh(docs.columns, n) for n in ("kept_id", "kept_hash")]
-    keep = keep.select("doc_id", "text_hash").distinct().toDF(*names)
-    same_text = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col(names[1])
-    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(names[0])) & same_text, "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])

@@ -99,16 +99,7 @@ def test_links_of_crowded_buckets(spark):
 
 def test_edges_of_the_input(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0
     odd = spark.createDataFrame([(None, "x y z", 1), (None, None, 2), (7, "", 3), (5, "x y z", 4), (5, "x y z", 5)], "doc_id long, text string, fp int")
     got = sorted(((r.doc_id, r.fp == 0, r.component_id) for r in simhash.near_duplicates(odd).collect()), key=str)
     assert got == sorted([(None, False, 5), (None, True, 7), (7, True, 7), (5, False, 5), (5, False, 5)], key=str)
-    kept = simhash.keep_one(odd)
-    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [5, 7]
-
-
-def test_one_row_of_each_component_stays(spark):
-    rows = [(5, "a b c d e", 1), (5, "A  b c d e", 2), (5, "a b c d e", 3), (2, "other words are here now", 1), (5, "other words are here now", 1), (9, "a b c d e", 1), (None, "alone in its group", 1)]
-    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, kept_id int")).collect()
-    assert sorted(str(r.doc_id) for r in kept) == ["2", "5", "None"]
-    assert [r.text.lower().split() for r in kept if r.doc_id == 5] == [["a", "b", "c", "d", "e"]]

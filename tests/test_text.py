@@ -195,3 +195,19 @@ def test_ratio_of_whole_conversations_equals_brute_force(spark):
         b = a[::-1]
         popular = {c for c in set(b) if len(b) >= 200 and b.count(c) > len(b) // 100 + 1}
         assert got[key] == pytest.approx(2 * slow_matched(a, b, popular) / (2 * len(a)) if a else 1.0)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_response_objects_are_read_once_per_response(spark):
+    # A value that a lambda uses would be read once per name, and kinds are told only where the text leaves them open.
+    body = ('{"fields": {"owner_name": {"value": "[1]", "confidence": "true"}, "area": {"value": [1], "confidence": true}, "village": 5, '
+            '"tehsil": {"value": "{", "confidence": " 0.7"}, "district": {"value": " "}}}')
+    out = responses.parse_model_responses(spark.createDataFrame([("a", body)], "id string, raw_text string"))
+    fields = {n: tuple(f) for n, f in out.first().fields.items()}
+    assert fields["owner_name"] == ("[1]", None, "EXTRACTED") and fields["area"] == (None, 1.0, "UNCERTAIN")
+    assert fields["village"] == (None, None, "MISSING") and fields["tehsil"] == ("{", 0.7, "EXTRACTED") and fields["district"] == (None, None, "MISSING")
+    plan = plan_of(out)
+    assert plan.count("$.fields") == 1 and plan.lower().count("schemaofvariant(") <= 2, plan

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import literal_map, strip
+from .text import let, literal_map, strip
 
 # --- fixed values -----------------------------------------------------------
 DECLARED_LANGUAGES = {
@@ -26,11 +26,16 @@ DEFAULT_LANGUAGE = "eng"
 def count_scripts(text: Column) -> Column:
     """``struct(latin, devanagari, gujarati)`` letter counts; digits and punctuation count for nothing."""
     body = F.coalesce(text, F.lit(""))
-    return F.struct(*[F.regexp_count(body, F.lit(p)).alias(n) for n, p in SCRIPT_RANGES.items()])
+    # What remains of a text without the other characters: they go in runs, while a count would match letter by letter.
+    return F.struct(*[F.length(F.regexp_replace(body, p.replace("[", "[^", 1) + "+", "")).alias(n) for n, p in SCRIPT_RANGES.items()])
 
 
 def language_config(counts: Column) -> Column:
     """Reading language from the counts, NULL when the text has no letters."""
+    return let(counts, _config)
+
+
+def _config(counts: Column) -> Column:
     total = counts["latin"] + counts["devanagari"] + counts["gujarati"]
     share = {n: F.try_divide(counts[n].cast("double"), total.cast("double")) for n in SCRIPT_RANGES}
     local = F.when((share["devanagari"] >= MIN_SHARE) & (share["devanagari"] >= share["gujarati"]), "hin").when(
@@ -60,7 +65,7 @@ def detect_language(text: Column, declared: Column, verdict_script: Column | Non
     said = normalize_declared(declared)
 
     def pick(value: Column, source: str) -> Column:
-        return F.when(value.isNotNull(), F.struct(value.alias("language"), F.lit(source).alias("source")))
+        return let(value, lambda x: F.when(x.isNotNull(), F.struct(x.alias("language"), F.lit(source).alias("source"))))
 
     return F.coalesce(
         pick(verdict, "osd"), pick(letters, "codepoints"), pick(said, "declared"),

@@ -211,3 +211,14 @@ def test_response_objects_are_read_once_per_response(spark):
     assert fields["village"] == (None, None, "MISSING") and fields["tehsil"] == ("{", 0.7, "EXTRACTED") and fields["district"] == (None, None, "MISSING")
     plan = plan_of(out)
     assert plan.count("$.fields") == 1 and plan.lower().count("schemaofvariant(") <= 2, plan
+
+
+def test_letters_of_a_text_are_counted_once(spark):
+    rows = [(1, "abc क", "hi", "Gujarati", 1.0), (2, "12", "gu", None, None), (3, None, None, "Gujarati", 3.0), (4, "😀 ગગ", None, None, 9.0), (5, "--", None, None, None)]
+    texts = spark.createDataFrame(rows, "id int, t string, said string, script string, sure double")
+    counts = {r.id: tuple(r.c) for r in texts.select("id", scripts.count_scripts(F.col("t")).alias("c")).collect()}
+    assert counts == {1: (3, 1, 0), 2: (0, 0, 0), 3: (0, 0, 0), 4: (0, 0, 2), 5: (0, 0, 0)}
+    found = texts.select("id", scripts.detect_language(F.col("t"), F.col("said"), F.col("script"), F.col("sure")).alias("x"))
+    assert {r.id: tuple(r.x) for r in found.collect()} == {
+        1: ("hin+eng", "codepoints"), 2: ("guj+eng", "declared"), 3: ("guj+eng", "osd"), 4: ("guj", "codepoints"), 5: ("eng", "default")}
+    assert plan_of(found).count("A-Za-z]") == 1

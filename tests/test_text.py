@@ -222,3 +222,18 @@ def test_letters_of_a_text_are_counted_once(spark):
     assert {r.id: tuple(r.x) for r in found.collect()} == {
         1: ("hin+eng", "codepoints"), 2: ("guj+eng", "declared"), 3: ("guj+eng", "osd"), 4: ("guj", "codepoints"), 5: ("eng", "default")}
     assert plan_of(found).count("A-Za-z]") == 1
+
+
+def test_normalising_compiles_into_short_methods(spark):
+    # The JVM does not compile a method of more than 8,000 bytes, so one that is longer runs interpreted for every row.
+    import re
+
+    from recordlake.functions.normalize import normalize_record
+
+    row = {n: f" x  {n} " for n in FIELD_NAMES} | {"area": "1,0 00.50", "area_unit": "Sq  Meter", "record_date": "\t1/2/2024 "}
+    out = normalize_record(spark.range(3).select("id", *[F.concat(F.lit(v), F.when(F.col("id") > 5, F.lit("!")).otherwise(F.lit(""))).alias(n) for n, v in row.items()]))
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", out._jdf.queryExecution().explainString(mode))
+    assert sizes and max(map(int, sizes)) <= 8000
+    got = out.first()
+    assert (got.owner_name, got.area, got.area_unit, got.record_date) == ("x owner_name", "1000.50", "sqm", "2024-02-01")

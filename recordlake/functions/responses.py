@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import FIELD_NAMES
-from .text import is_blank, let, strip, text_key
+from .text import is_blank, let, strip, strip_long, text_key
 
 # --- fixed values -----------------------------------------------------------
 BAD_RESPONSE = "PROVIDER_BAD_RESPONSE"
@@ -29,9 +29,11 @@ _LAST_FENCE = r"(?U)(^|[\r\n])[^\S\r\n]*```[\s]*\z"
 
 def strip_fences(c: Column) -> Column:
     """Drop a surrounding code fence; text without one is only trimmed."""
-    text = strip(c)
-    body = F.regexp_replace(F.regexp_replace(text, _FIRST_LINE, ""), _LAST_FENCE, "")
-    return F.when(F.startswith(text, F.lit("```")), strip(body)).otherwise(text)
+    def unfenced(text: Column) -> Column:
+        body = F.regexp_replace(F.regexp_replace(text, _FIRST_LINE, ""), _LAST_FENCE, "")
+        return F.when(F.startswith(text, F.lit("```")), strip(body)).otherwise(text)
+
+    return let(strip_long(c), unfenced)
 
 
 def _kind(v: Column) -> Column:

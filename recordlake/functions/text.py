@@ -27,6 +27,14 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, _EDGES, "")
 
 
+def strip_long(c: Column) -> Column:
+    """:func:`strip` for whole documents: a text that neither starts nor ends with whitespace is not searched."""
+    def ends(text: Column) -> Column:
+        return F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+
+    return let(c, lambda text: F.when(F.regexp_like(ends(text), F.lit(SPACE)), strip(text)).otherwise(text))
+
+
 def squash(c: Column) -> Column:
     """Remove all whitespace."""
     return F.regexp_replace(c, _RUN, "")

@@ -237,3 +237,18 @@ def test_normalising_compiles_into_short_methods(spark):
     assert sizes and max(map(int, sizes)) <= 8000
     got = out.first()
     assert (got.owner_name, got.area, got.area_unit, got.record_date) == ("x owner_name", "1000.50", "sqm", "2024-02-01")
+
+
+def test_fences_of_long_texts(spark):
+    from recordlake.functions.text import strip
+
+    gap = "a" + " " * 300_000 + "b"
+    start = time.time()
+    assert spark.createDataFrame([(gap,)], "t string").select(responses.strip_fences(F.col("t"))).first()[0] == gap
+    assert time.time() - start < 20  # searching the blanks for the end of the text takes the square of their number
+    odd = [None, "", " ", " ", "a", " a", "a　", "\ta b\n", "```", " ```json\n{} \n``` ", "\U0001f600 ", "x\n```", "```\n \n```"]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string")
+    plain = strip(F.col("t"))
+    body = F.regexp_replace(F.regexp_replace(plain, responses._FIRST_LINE, ""), responses._LAST_FENCE, "")
+    want = F.when(F.startswith(plain, F.lit("```")), strip(body)).otherwise(plain)
+    assert all(a == b for a, b in rows.select(responses.strip_fences(F.col("t")), want).collect())

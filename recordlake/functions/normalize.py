@@ -55,10 +55,10 @@ def normalize_unit(c: Column) -> Column:
 
 def parse_date(c: Column) -> Column:
     """DATE for year-month-day and for day-month-year with dashes, slashes or dots; NULL otherwise."""
-    return _date_of(strip(c))
+    return stripped_date(strip(c))
 
 
-def _date_of(stripped: Column) -> Column:
+def stripped_date(stripped: Column) -> Column:
     year_first = F.regexp_replace(stripped, YEAR_LAST, "$4-$3-$1")
     return F.regexp_extract(year_first, YEAR_FIRST, 1).try_cast("date")
 
@@ -66,7 +66,7 @@ def _date_of(stripped: Column) -> Column:
 def normalize_date(c: Column) -> Column:
     """ISO text for a recognised date, the trimmed text otherwise."""
     # A bound value: stripped once, and a projection with a lambda is not compiled into one method too long for the JVM's compiler.
-    return let(strip(c), lambda text: F.coalesce(_date_of(text).cast("string"), empty_to_null(text), c))
+    return let(strip(c), lambda text: F.coalesce(stripped_date(text).cast("string"), empty_to_null(text), c))
 
 
 def looks_iso(c: Column) -> Column:

@@ -7,7 +7,7 @@ from recordlake.functions import normalize as nz
 from recordlake.functions import text as tx
 from recordlake.operators import duplicates, rules
 from recordlake.operators import reference as rf
-from recordlake.schemas import FIELD_NAMES
+from recordlake.schemas import FIELD_NAMES, REQUIRED_FIELDS
 
 VALID = dict(zip(FIELD_NAMES, [
     "Ramesh Kumar", "Suresh Kumar", "145/2", "78", "123", "2.45", "hectare", "Demo Village", "Demo Tehsil", "Demo District",
@@ -151,3 +151,11 @@ def test_a_single_rule_needs_its_lookup_only(spark):
     one = rules.validate(df, demo(spark), only=("REF_VILLAGE_001",))
     assert [[i.rule_id for i in r.issues] for r in one.orderBy(F.size("issues").desc()).collect()] == [["REF_VILLAGE_001"], []]
     assert one._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_rules_are_not_judged_inside_a_lambda(spark):
+    df = spark.createDataFrame([("1",) + (None,) * len(FIELD_NAMES)], "record_id string, " + ", ".join(f"{n} string" for n in FIELD_NAMES))
+    out = rules.validate(df, messages=False)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(array(CASE WHEN" not in plan  # the lambda of array_compact around all conditions
+    assert [i.rule_id for i in out.first().issues] == [f"REQ_{n.upper()}_001" for n in REQUIRED_FIELDS] + ["REF_DATA_001"]

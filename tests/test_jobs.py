@@ -247,3 +247,48 @@ def test_only_the_newest_version_of_a_document_counts(spark):
                                    "document_id string, survey_number string, village string, batch int")
     got = duplicates.find_duplicates_incremental(batch, stored, version=F.col("batch")).collect()
     assert {r.document_id: r.match_count for r in got} == {"n": 1, "m": 1}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_wide_rows_are_dealt_before_they_are_sorted(spark):
+    rows = [(k, n, f"{v}{i}") for i in range(300) for k, n, v in (("a", "area", "x"), (None, "village", "y"), (f"k{i}", "owner_name", "z"))]
+    rows += [("a", "owner_name", None), ("b", "other", "q"), ("b", None, "q")]
+    df = spark.createDataFrame(rows, "record_id string, field_name string, value string").repartition(7)
+    wide = joins.to_wide(df, names=("area", "village", "owner_name"))
+    plan = plan_of(wide)
+    assert plan.rindex("SortAggregate") < plan.rindex("Exchange hashpartitioning(record_id")
+    want = {("a", "x99", None, None), (None, None, "y99", None), ("b", None, None, None)} | {(f"k{i}", None, None, f"z{i}") for i in range(300)}
+    assert {tuple(r) for r in wide.collect()} == want and wide.count() == len(want)
+
+
+def test_grouped_children_are_not_dealt_again(spark):
+    records = spark.createDataFrame([("r1", "d1"), ("r1", "d1"), ("r2", "d2"), ("r3", None), (None, "d1")], "record_id string, document_id string")
+    fields = spark.createDataFrame([("r1", f"f{i}", "v") for i in range(25)] + [("r2", "f", "v"), (None, "f", "v")], "record_id string, field_name string, value string")
+    issues = spark.createDataFrame([("r2", f"R{i}", None, "FAIL", "ERROR", "m") for i in range(12)], "record_id string, rule_id string, field_name string, status string, severity string, message string")
+    docs = spark.createDataFrame([("d1", "a.pdf"), ("d2", "b.pdf")], "id string, file_name string")
+    out = joins.record_detail(records, fields, issues, docs, 5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan_of(joins.record_detail(records, fields, issues, docs, 5)).split("\n")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    at = max(i for i, x in enumerate(lines) if "partial_collect_list" in x)
+    depth, above = len(lines[at]), []
+    for line in reversed(lines[:at + 1]):  # from an aggregate up to the root
+        inner = len(line) - len(line.lstrip(" :+-"))
+        if inner < depth:
+            depth = inner
+            above.append(line)
+    assert sum("Exchange" in x for x in above) == 1
+    rows = out.collect()
+    assert out.columns == ["document_id", "record_id", "part", "extracted_fields", "validation", "document"]
+    found = {}
+    for r in rows:
+        at = found.setdefault(r.record_id, [0, 0, 0])
+        at[0], at[1], at[2] = at[0] + 1, at[1] + len(r.extracted_fields), at[2] + len(r.validation)
+        assert r.record_id in ("r3", None) or r.extracted_fields or r.validation
+    assert found["r1"][1:] == [50, 0] and found["r2"][1:] == [1, 12] and found["r3"] == [1, 0, 0] and found[None] == [1, 0, 0]
+    assert {r.document.file_name if r.document else None for r in rows if r.record_id in ("r2", "r3")} == {"b.pdf", None}

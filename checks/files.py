@@ -18,12 +18,15 @@ PER_FILE = 500
 
 
 def _write(df, path: str, key: str, whole: str | None = None) -> None:
-    """JSON files of about PER_FILE rows each: arrays of objects, or with ``whole`` one object that holds the rows under that name."""
+    """JSON files of about PER_FILE rows each: arrays of objects, or with ``whole`` one object that holds the rows under that name.
+
+    They lie side by side in ``path``: a folder of its own for each would have to be made, moved and listed by the driver.
+    """
     bucket = (F.xxhash64(key) % F.lit(1 << 20)).alias("h")
     n = max(1, -(-df.count() // PER_FILE))
     rows = df.select(F.pmod(bucket, F.lit(n)).alias("file"), F.struct(*df.columns).alias("row")).groupBy("file").agg(F.collect_list("row").alias("rows"))
     body = F.to_json("rows") if whole is None else F.to_json(F.struct(F.lit("v1").alias("version"), F.col("rows").alias(whole)))
-    rows.select("file", body.alias("value")).write.partitionBy("file").text(path)
+    rows.select(body.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 @check("s1_read_manifest", "SELECT 'v1' AS version, record_id AS id, record_id || '.pdf' AS file, district AS language, [land_classification] AS attributes FROM v_records", "v_records")
@@ -31,7 +34,7 @@ def _(spark, d):
     path, r = scratch(spark, "manifest"), v.records(spark, d)
     _write(r.select(F.col("record_id").alias("id"), F.concat("record_id", F.lit(".pdf")).alias("file"), F.col("district").alias("language"),
                     F.array("land_classification").alias("attributes")), path, "id", "documents")
-    return readers.read_manifest(spark, f"{path}/*").select("version", "id", "file", "language", "attributes")
+    return readers.read_manifest(spark, path).select("version", "id", "file", "language", "attributes")
 
 
 @check("s2_read_ocr", """
@@ -41,14 +44,14 @@ def _(spark, d):
     one = v.lines(spark, d).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text", "confidence"))).alias("l"))
     pages = F.array(F.struct(F.lit(1).alias("page_number"), F.transform("l", lambda x: F.struct(x["text"].alias("text"), x["confidence"].alias("confidence"))).alias("lines")))
     _write(one.select("document_id", F.lit("e").alias("engine"), pages.alias("pages")), path, "document_id")
-    return flatten_lines(readers.read_ocr(spark, f"{path}/*")).select("document_id", F.col("line_index").cast("bigint").alias("line_index"), F.md5("text").alias("digest"), "confidence")
+    return flatten_lines(readers.read_ocr(spark, path)).select("document_id", F.col("line_index").cast("bigint").alias("line_index"), F.md5("text").alias("digest"), "confidence")
 
 
 @check("s3_read_model_outputs", "SELECT id, failed, CASE WHEN failed THEN 'PROVIDER_TIMEOUT' END AS error_code, model, area, survey_number FROM v_outputs", "v_outputs")
 def _(spark, d):
     path = scratch(spark, "outputs")
     _write(v.outputs(spark, d), path, "id")
-    return readers.read_model_outputs(spark, f"{path}/*").select("id", "failed", "error_code", "model", F.col("values")["area"].alias("area"), F.col("values")["survey_number"].alias("survey_number"))
+    return readers.read_model_outputs(spark, path).select("id", "failed", "error_code", "model", F.col("values")["area"].alias("area"), F.col("values")["survey_number"].alias("survey_number"))
 
 
 @check("s4_read_ground_truth", "SELECT record_id AS id, owner_name, survey_number, area, village, record_date, 'line ' || record_id || chr(10) || 'end' AS text FROM v_records", "v_records")
@@ -56,8 +59,8 @@ def _(spark, d):
     records, texts, r = scratch(spark, "truth"), scratch(spark, "truth-text"), v.records(spark, d)
     _write(r.select(F.col("record_id").alias("id"), *FIELD_NAMES), records, "id")
     _write(r.select(F.col("record_id").alias("id"), F.array(F.concat(F.lit("line "), "record_id"), F.lit("end")).alias("lines")), texts, "id")
-    text = readers.read_ground_truth(spark, f"{texts}/*").select("id", "text")
-    return readers.read_ground_truth(spark, f"{records}/*", "record").select("id", "owner_name", "survey_number", "area", "village", "record_date").join(text, "id")
+    text = readers.read_ground_truth(spark, texts).select("id", "text")
+    return readers.read_ground_truth(spark, records, "record").select("id", "owner_name", "survey_number", "area", "village", "record_date").join(text, "id")
 
 
 @check("s11_append_log", "SELECT id, entity_id, action, at_us FROM v_audit", "v_audit")

@@ -50,6 +50,27 @@ def test_long_texts_with_few_edits():
     assert time.perf_counter() - start < 0.5
 
 
+def test_far_texts_go_by_diagonals(monkeypatch):
+    rng = random.Random(11)
+    a = [rng.choice("abcdefghij") for _ in range(30000)]
+    b = list(a)
+    for at in sorted(rng.sample(range(30000), 300), reverse=True):
+        b[at:at + 1] = rng.choice([[], ["§"], [b[at], "§"]])
+    want = ds.column_distance(a, b)
+    monkeypatch.setattr(ds, "column_distance", None)
+    assert ds.sequence_distance("".join(a), "".join(b)) == ds.sequence_distance(a, b) == want > 200
+
+
+@pytest.mark.parametrize("few", [0, 1, 4])
+def test_diagonals_in_arrays_equal_brute_force(monkeypatch, few):
+    monkeypatch.setattr(ds, "FEW_EDITS", few)
+    rng = random.Random(few)
+    for _ in range(150):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(40))) for _ in range(2))
+        assert ds.near_distance(a, b, 10 ** 6) == ds.near_distance(list(a), list(b), 10 ** 6) == brute(a, b)
+    assert ds.near_distance("a" * 500, "b" * 500, 2000) is None
+
+
 def test_word_distance_on_both_sides_of_the_limit(spark):
     rng, rows = random.Random(13), [(None, "a"), ("a", None), (None, None), ("", ""), ("", "a"), ("a  b", "a b")]
     for i in range(150):

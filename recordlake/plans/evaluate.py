@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import confidence as conf
-from ..functions.distance import classify_fields, with_error_rates
+from ..functions.distance import classify_fields, with_error_rates, with_rates_of_keys
+from ..functions.text import compare_key
 from ..operators import aggregates as agg
 from ..operators import evaluation as ev
 from ..operators.joins import align_fields, to_long, with_missing
@@ -69,13 +70,14 @@ def _rated(joined: DataFrame) -> DataFrame:
 def compare_configs(truth: DataFrame, before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(one row per document with both runs, means per phase and script group).
 
-    ``before`` and ``after`` have (id, text, seconds), ``truth`` (id, text, family).
+    ``before`` and ``after`` have (id, text, seconds), ``truth`` (id, text, family). Each text is normalised once, before the join.
     """
     def run(df: DataFrame, phase: str) -> DataFrame:
-        return df.select("id", F.col("text").alias("hypothesis"), "seconds", F.lit(phase).alias("phase"))
+        return df.select("id", compare_key(F.col("text")).alias("hypothesis"), "seconds", F.lit(phase).alias("phase"))
 
     both = run(before, "before").unionByName(run(after, "after"))
-    rated = with_error_rates(both.join(truth.select("id", "family", F.col("text").alias("reference")), "id"))
+    expected = truth.select("id", "family", compare_key(F.col("text")).alias("reference"))
+    rated = with_rates_of_keys(both.join(expected, "id"), "reference", "hypothesis")
     slim = rated.select("id", "family", "phase", "cer", "wer", "seconds")
     from ..operators.joins import compare_phases
 

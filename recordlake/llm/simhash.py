@@ -16,6 +16,8 @@ fingerprints are within two bits exactly if they share such a word, at most 65 f
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,15 +39,25 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     if not words:
         return 0
     k = min(shingle, len(words))
-    ones, total = np.zeros(64, np.int64), len(words) - k + 1
-    for at in range(0, total, WORDS_AT_ONCE):
-        part = words[at:min(at + WORDS_AT_ONCE, total) + k - 1]
-        joined = b" ".join(part)
-        ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))[:len(part) - k + 1]
-        hashes = [xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[k - 1:].tolist())]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+    def hashed():
+        for at in range(0, len(words) - k + 1, WORDS_AT_ONCE):
+            part = words[at:min(at + WORDS_AT_ONCE, len(words) - k + 1) + k - 1]
+            joined = b" ".join(part)
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1) - 1
+            starts = np.concatenate(([0], ends[:-1] + 1))[:len(part) - k + 1]
+            yield np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[k - 1:].tolist())], np.uint64)
+
+    return majority(hashed())
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The 64 bits of which each is set in over half of the hashes (uint64), as an unsigned number."""
+    ones, total = np.zeros(64, np.int64), 0
+    for hashes in parts:
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
+        total += len(hashes)
     return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0])
 
 

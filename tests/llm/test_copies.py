@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from recordlake.llm import common, copies, language
+from recordlake.llm import common, copies, language, simhash
 
 from .slow import slow_roots, slow_set
 from .test_decontaminate import slow as slow_leaks
@@ -108,6 +108,32 @@ def test_small_buckets_go_by_pivots(spark):
     assert {r.doc_id: r.component_id for r in found} == dict(enumerate(slow_roots([t for _, t in rows])))
 
 
+def close_pairs(texts):
+    """Pairs of texts whose sets have a similarity of 0.8 and fingerprints within two bits, told one by one."""
+    sets = [set(s.tolist()) for s in copies.shingles([(t or "").encode() for t in texts], 5)]
+    prints = [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in s) > len(s)) for s in sets]
+    return {(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and bin(prints[i] ^ prints[j]).count("1") <= 2
+            and len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j])}
+
+
+def test_fingerprints_within_two_bits_share_a_key():
+    texts = [t for _, t in corpus() if t and t.strip()]
+    keys = [set(k) for k in copies.golay_of(copies.shingles([t.encode() for t in texts], 5), simhash.near_codewords(), simhash.syndromes())]
+    near = close_pairs(texts)
+    assert len(near) > 40 and all(keys[i] & keys[j] for i, j in near) and sum(map(len, keys)) < 18 * len(keys)
+
+
+def test_copies_within_two_bits_are_found_without_bands(spark, monkeypatch):
+    """What the minhash bands miss is found by the fingerprints' keys."""
+    monkeypatch.setattr(copies, "BANDS", 0)
+    rows = corpus()
+    found = {r.doc_id: r.component_id for r in copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    texts, roots = [t for _, t in rows], slow_roots([t for _, t in rows])
+    near = close_pairs(texts)
+    assert len(near) > 40 and all(found[i] == found[j] for i, j in near)
+    assert all(roots[i] == roots[c] for i, c in found.items())
+
+
 def test_bitmap_of_rows(spark):
     df = spark.range(0, 5000).select("id", F.xxhash64("id").alias("h"))
     bits = common.bit_table(df.filter("id % 10 = 0"), "h")

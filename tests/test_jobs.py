@@ -1,14 +1,15 @@
 """Whole jobs on the specimen set, state changes, files and streams."""
 
 import json
+from dataclasses import replace
 from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
-from recordlake.operators import joins, state
+from recordlake.operators import duplicates, joins, skew, state
 from recordlake.plans import evaluate, process
-from recordlake.schemas import FIELD_NAMES
+from recordlake.schemas import FIELD_NAMES, ISSUE
 from recordlake.sources import readers, sinks
 from recordlake.streaming import jobs as streams
 
@@ -292,3 +293,44 @@ def test_grouped_children_are_not_dealt_again(spark):
         assert r.record_id in ("r3", None) or r.extracted_fields or r.validation
     assert found["r1"][1:] == [50, 0] and found["r2"][1:] == [1, 12] and found["r3"] == [1, 0, 0] and found[None] == [1, 0, 0]
     assert {r.document.file_name if r.document else None for r in rows if r.record_id in ("r2", "r3")} == {"b.pdf", None}
+
+
+def large(reference):
+    """The reference with lookups that are not broadcast."""
+    return replace(reference, small=dict.fromkeys(reference.small, False))
+
+
+def test_lookups_of_a_large_reference_do_not_parse_again(spark, tmp_path, monkeypatch):
+    seen, hot_keys = [], skew.hot_keys
+    monkeypatch.setattr(skew, "hot_keys", lambda df, *args: seen.append(plan_of(df)) or hot_keys(df, *args))
+    ocr, responses, _ = batch(spark, arrivals(spark, range(12)))
+
+    def prepared(reference, name):
+        return process.prepare_batch(ocr, responses, reference, spark.createDataFrame([], "document_id string, survey_number string, village string"), str(tmp_path / name))
+
+    small, got = prepared(demo(spark), "small"), prepared(large(demo(spark)), "large")
+    assert len(seen) == 3 and not any("raw_text" in p for p in seen)
+    columns = [c for c in small.columns if c not in ("fields", "originals", "dropped", "metadata")]
+    rows = [sorted(map(str, df.select(*columns, F.map_entries("fields"), F.map_entries("metadata")).collect())) for df in (small, got)]
+    assert rows[0] == rows[1] and len(rows[0]) == 12
+
+
+def test_stored_texts_of_responses_are_not_carried_along(spark, tmp_path):
+    ocr, responses, _ = batch(spark, arrivals(spark, range(3)))
+    process.prepare_batch(ocr, responses, demo(spark), spark.createDataFrame([], "document_id string, survey_number string, village string"), str(tmp_path / "b"))
+    assert not {"raw_text", "values"} & set(spark.read.parquet(str(tmp_path / "b" / "checked")).columns)
+
+
+def test_a_batch_is_joined_with_the_tables_once(spark, tmp_path):
+    ocr, responses, tables = batch(spark, arrivals(spark, range(6)))
+    out = process.process_batch(ocr, responses, demo(spark), tables, NOW, str(tmp_path / "b"))
+    assert "Join" not in plan_of(out["outcomes"]) and out["outcomes"].count() == 6
+
+
+def test_duplicate_message_is_not_built_inside_a_lambda(spark):
+    rows = spark.createDataFrame([(1, "1", "v", 2), (2, "1", "v", 0), (3, None, "v", None)], "id int, survey_number string, village string, match_count long")
+    none = F.array().cast(f"array<{ISSUE}>")
+    listed = rows.withColumn("issues", F.when(F.col("id") == 1, F.array(F.lit(None).cast(ISSUE))).when(F.col("id") == 2, none))
+    found = duplicates.add_duplicate_issue(listed)
+    assert [r.n for r in found.select(F.transform("issues", lambda i: i["rule_id"]).alias("n")).collect()] == [["DUP_CANDIDATE_001"], [], None]
+    assert "filter(concat(" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -93,7 +93,9 @@ def process_batch(ocr: DataFrame, responses: DataFrame, reference: Reference | N
     """
     prepared = prepare_batch(ocr, responses, reference, tables["land_records"], stage_path, within_batch)
     batch = stored_once(ocr.sparkSession, prepared, f"{stage_path}/prepared")
-    out = persist_results(batch.filter("error_code is null"), tables, now)
+    good = batch.filter("error_code is null")
+    # Every table is made out of the judged rows, so they are joined with the tables on file once.
+    out = persist_results(good, tables, now, stored_once(ocr.sparkSession, persistence_codes(good, tables), f"{stage_path}/judged"))
     out["failures"] = batch.filter("error_code is not null").select("job_id", "document_id", "user_id", "error_code")
     return out
 
